@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, learned_partitions, mixing, simhash, substring_dedup, toxicity, wrapper
+from . import exact_dedup, learned_partitions, mixing, segmentation, simhash, substring_dedup, toxicity, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.sample_segmentations(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_longest(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_learned_partitions": op1_learned_partitions,
         "op2_mix_sources": op2_mix_sources,
+        "op3_sentencepiece_topk": op3_sentencepiece_topk,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_wrapper": op6_wrapper,
         "op7_toxicity": op7_toxicity,
