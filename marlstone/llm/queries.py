@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, learned_partitions, mixing, segmentation, simhash, substring_dedup, toxicity, wrapper
+from . import exact_dedup, learned_partitions, licenses, mixing, segmentation, simhash, substring_dedup, toxicity, warc, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,35 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_longest(_read(spark, sf_dir, "documents"))
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Pages as captures in the order of their ids: a URL in its canonical spelling was fetched in
+    full, any other spelling was asked for with validators and answered 304."""
+    is_full = F.coalesce(warc.canonical_url(F.col("url")) == F.regexp_replace(F.col("url"), "^https?://", ""), F.lit(False))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    digest = F.sha2(F.coalesce("html", F.lit("")), 256)
+    return pages.select(
+        F.col("page_id").cast("long").alias("id"),
+        "url",
+        F.col("page_id").cast("long").alias("time"),
+        is_full.alias("is_full"),
+        F.concat(F.lit('W/"'), F.substring(digest, 1, 16), F.lit('"')).alias("etag"),
+        F.lit(None).cast("string").alias("modified"),
+        digest.alias("digest"),
+        F.when(
+            is_full,
+            F.create_map(F.lit("content-length"), size, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string")),
+        )
+        .otherwise(F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), F.col("page_id").cast("string")))
+        .alias("headers"),
+    )
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.resolve_revisits(page_captures(_read(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return got.select(F.col("id").alias("page_id"), "url_key", "status", "refers_to", "digest", F.array_join(lines, "\n").alias("headers"))
+
+
 def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(_read(spark, sf_dir, "pages"))
 
@@ -41,6 +71,10 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -51,9 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_sentencepiece_topk": op3_sentencepiece_topk,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_warc_revisits": op5_warc_revisits,
         "op6_wrapper": op6_wrapper,
         "op7_toxicity": op7_toxicity,
         "op8_simhash_golay": op8_simhash_golay,
+        "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
@@ -114,5 +150,38 @@ from p
 """
 
 
+OP5_SQL = r"""
+with a as (
+  select page_id, url, html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest
+  from pages
+), b as (
+  select page_id, url, html,
+         regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') as host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'),
+           lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[^=]*|ref|fbclid|gclid|msclkid|sessionid|phpsessid)(=.*)?$'))) as params
+  from a
+), c as (
+  select page_id, html, host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as url_key, url from b
+), d as (
+  select page_id, url_key, coalesce(url_key = regexp_replace(url, '^https?://', ''), false) as is_full,
+         sha256(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as octets
+  from c
+), e as (
+  select *, last_value(case when is_full then page_id end ignore nulls) over (partition by url_key order by page_id rows between unbounded preceding and 1 preceding) as o
+  from d
+), f as (
+  select e.*, case when e.is_full then 'full' when o is null then 'no_response' when substr(e.digest, 1, 16) = substr(r.digest, 1, 16) then 'resolved' else 'mismatch' end as status,
+         r.digest as o_digest, r.octets as o_octets
+  from e left join d r on r.page_id = e.o
+)
+select page_id, url_key, status, case when status = 'resolved' then o end as refers_to,
+       case status when 'full' then digest when 'resolved' then o_digest end as digest,
+       case status when 'full' then 'content-length: ' || octets || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id
+                   when 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || o_octets || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id end as headers
+from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc_revisits": OP5_SQL}
