@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,22 @@ def words_of(text: bytes | None) -> list[bytes]:
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
+
+
+def values(column: pa.Array) -> Iterator:
+    """Values of a column one at a time, so that a batch of long texts isn't held twice."""
+    return (x.as_py() for x in column)
+
+
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """Texts as their UTF-8 bytes, one at a time."""
+    return values(pc.cast(column, pa.binary()))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

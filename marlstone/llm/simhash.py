@@ -26,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, give_back, utf8, words_of
 from .components import components
 from .golay import near_indices
 
@@ -63,9 +62,9 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = pc.cast(batch.column(1), pa.binary())
-        out = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts))
+        out = np.fromiter(map(fingerprint, utf8(batch.column(1))), dtype=np.uint64, count=len(batch))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,11 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, give_back, utf8, values, words_of
 from .recompression import Spans, U, recompress, word_hashes
 
 WINDOW = 50
@@ -110,15 +109,15 @@ def _chunks(rows: Iterator[tuple], words_at: int) -> Iterator[list[tuple]]:
         yield chunk
 
 
-def _column(batch: pa.RecordBatch, name: str) -> list:
+def _column(batch: pa.RecordBatch, name: str) -> Iterator:
     col = batch.column(name)
-    return (pc.cast(col, pa.binary()) if pa.types.is_string(col.type) else col).to_pylist()
+    return utf8(col) if pa.types.is_string(col.type) else values(col)
 
 
 def _block_batches(window: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = (words_of(t.as_py()) for t in pc.cast(batch.column("text"), pa.binary()))
+            texts = map(words_of, utf8(batch.column("text")))
             rows = (x for x in zip(batch.column("ra").to_numpy(), batch.column("rb").to_numpy(), batch.column("id").to_numpy(), texts) if len(x[3]) >= window)
             for chunk in _chunks(rows, 3):
                 which, key, around, p1, p2 = blocks([x[3] for x in chunk], window)
@@ -128,6 +127,7 @@ def _block_batches(window: int):
                     + [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(p1.astype(np.int32)), pa.array(p2.astype(np.int32))],
                     ["ra", "rb", "id", "key", "around", "p1", "p2"],
                 )
+        give_back()
 
     return batches
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut
+from .common import cut, give_back, values
 
 # Characters that stand for Latin letters they look like, Cyrillic and Greek.
 HOMOGLYPHS = {
@@ -316,8 +316,9 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            scores = [model.score(t) for t in batch.column(text_at).to_pylist()]
+            scores = [model.score(t) for t in values(batch.column(text_at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
+        give_back()
 
     schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
     return plain.mapInArrow(batches, schema).toDF(*docs.columns, out)
