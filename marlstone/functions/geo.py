@@ -14,6 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
 
 # WKB codes of the seven types.
 CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6, "GeometryCollection": 7}
@@ -391,28 +394,28 @@ def _one(f):
     return lambda it: (s.map(lambda v: None if v is None else f(decode(v))) for s in it)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def st_area(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     return _one(area)(it)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def st_astext(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     return _one(to_wkt)(it)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_geomfromtext(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in it:
         yield s.map(lambda v: None if v is None else encode(from_wkt(v)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_normalize(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     return _one(encode)(it)
 
 
-@F.pandas_udf("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+@F.pandas_udf(BOX)
 def st_bbox(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in it:
         rows = [(None,) * 4 if v is None else bounds(decode(v)) or (None,) * 4 for v in s]
@@ -434,27 +437,27 @@ def _two(f, empty=None):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def st_distance(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     return _two(distance)(it)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def st_intersects(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     return _two(intersects)(it)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def st_contains(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     return _two(contains)(it)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def st_intersection_area(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     return _two(intersection_area)(it)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def hilbert_cell(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Of longitude and latitude, on a grid of 2^16 by 2^16 cells."""
     for x, y in it:
@@ -462,7 +465,7 @@ def hilbert_cell(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(hilbert(cell(x, -180.0, 360.0), cell(y, -90.0, 180.0)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_point(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for x, y in it:
         yield pd.Series([None if pd.isna(a) or pd.isna(b) else struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y)])

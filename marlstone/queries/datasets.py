@@ -1 +1,151 @@
-"""To come."""
+"""The SQL surface over snapshot datasets: each query runs a short script in a lake of its own and
+returns what it leaves."""
+
+from __future__ import annotations
+
+import uuid
+
+from ..catalog.engine import Engine
+from ..operators.delta import shared_folder
+from ..session import table
+from . import query
+
+
+def _lake(spark, d, *tables) -> Engine:
+    """A fresh lake with the named tables as datasets of database sales."""
+    e = Engine(spark, f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}", "sales")
+    for name in tables:
+        table(spark, d, name).createOrReplaceTempView(f"src_{name}")
+        e.execute(f"create dataset {name} as select * from src_{name}")
+    return e
+
+
+@query("sql_create_insert", "select n_nationkey as id, n_name as name from nation union all values (100, 'X'), (101, null)")
+def create_insert(spark, d):
+    e = _lake(spark, d, "nation")
+    e.execute("create dataset t (id int not null, name string)")
+    e.execute("insert into t select n_nationkey, n_name from nation")
+    e.execute("insert into t values (100, 'X')")
+    e.execute("insert into t (id) values (101)")
+    return e.query("select id, name from t")
+
+
+@query("sql_insert_overwrite_truncate", "select n_nationkey as id from nation where n_nationkey > 20")
+def overwrite(spark, d):
+    e = _lake(spark, d, "nation")
+    e.execute("create dataset t as select n_nationkey as id from nation")
+    e.execute("truncate t")
+    e.execute("insert into t values (1), (2)")
+    e.execute("insert overwrite t select n_nationkey from nation where n_nationkey > 20")
+    return e.query("select id from t")
+
+
+@query("sql_delete", "select o_orderkey from orders where not coalesce(o_totalprice > 100000 and o_orderstatus <> 'F', false)")
+def delete(spark, d):
+    e = _lake(spark, d, "orders")
+    e.execute("delete from orders where o_totalprice > 100000 and o_orderstatus <> 'F'")
+    return e.query("select o_orderkey from orders")
+
+
+@query("sql_update", "select s_suppkey, case when s_acctbal < 0 then 0.0 else s_acctbal end as s_acctbal from supplier")
+def update(spark, d):
+    e = _lake(spark, d, "supplier")
+    e.execute("update supplier set s_acctbal = 0, s_name = s_name where s_acctbal < 0")
+    return e.query("select s_suppkey, s_acctbal from supplier")
+
+
+@query(
+    "sql_merge",
+    """select c_custkey, case when c_custkey % 10 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal from customer where c_custkey % 10 <> 5
+    union all select c_custkey + 1000000, c_acctbal from customer where c_custkey % 100 = 7""",
+)
+def merge(spark, d):
+    e = _lake(spark, d, "customer")
+    e.execute("create dataset changes as select c_custkey, c_acctbal + 1 as c_acctbal, 'u' as op from customer where c_custkey % 10 = 0 union all select c_custkey, c_acctbal, 'd' from customer where c_custkey % 10 = 5 union all select c_custkey + 1000000, c_acctbal, 'i' from customer where c_custkey % 100 = 7")
+    e.execute(
+        """merge into customer t using changes s on t.c_custkey = s.c_custkey
+        when matched and s.op = 'd' then delete
+        when matched then update set c_acctbal = s.c_acctbal
+        when not matched and s.op = 'i' then insert (c_custkey, c_acctbal) values (s.c_custkey, s.c_acctbal)"""
+    )
+    return e.query("select c_custkey, c_acctbal from customer")
+
+
+@query("sql_merge_by_source", "select n_nationkey, case when n_nationkey < 5 then 'kept' else n_name end as n_name from nation where n_nationkey < 5 or n_nationkey >= 20")
+def merge_by_source(spark, d):
+    e = _lake(spark, d, "nation")
+    e.execute("create dataset s as select n_nationkey from nation where n_nationkey < 5")
+    e.execute("merge into nation t using s on t.n_nationkey = s.n_nationkey when matched then update set n_name = 'kept' when not matched by source and t.n_nationkey < 20 then delete")
+    return e.query("select n_nationkey, n_name from nation")
+
+
+@query("sql_time_travel", "select 'first' as at, count(*) as n from region union all select 'now', count(*) - 2 from region union all select 'branch', count(*) from region")
+def time_travel(spark, d):
+    e = _lake(spark, d, "region")
+    e.dataset("region").make_branch("audit")
+    e.execute("delete from region where r_regionkey < 2")
+    return e.query("select 'first' as at, count(*) as n from at('sales.default.region', snapshot => 1) union all select 'now', count(*) from region union all select 'branch', count(*) from at('sales.default.region', rama => 'audit')")
+
+
+@query("sql_views", "select n_regionkey as region, count(*) as n from nation where n_nationkey > 3 group by 1")
+def views(spark, d):
+    e = _lake(spark, d, "nation")
+    e.execute("create view some as select * from nation where n_nationkey > 3")
+    e.execute("create or replace view counted (region, n) comment 'by region' as select n_regionkey, count(*) from some group by 1")
+    return e.query("select region, n from counted")
+
+
+@query("sql_idempotent_key", "select count(*) * 2 as n from region")
+def idempotent(spark, d):
+    e = _lake(spark, d, "region")
+    for _ in range(3):
+        e.execute("insert into region select * from src_region", key="load-1")
+    return e.query("select count(*) as n from region")
+
+
+@query("sql_information_schema", "select * from (values ('sales','default','nation','DATASET'), ('sales','default','v','VIEW'), ('sales','eu','photos','MEDIA COLLECTION')) t(table_catalog, table_schema, table_name, table_type)")
+def information(spark, d):
+    e = _lake(spark, d, "nation")
+    e.execute("create view v as select n_name from nation")
+    e.execute("create schema eu")
+    e.execute("create media collection eu.photos media image formats ('jpeg', 'png')")
+    return e.query("select * from information_schema.tables")
+
+
+@query("sql_refusals", "select * from (values ('two statements'), ('settings'), ('copy'), ('read by function'), ('write a view'), ('drop kind'), ('null in not null'), ('double match')) t(refused)")
+def refusals(spark, d):
+    e = _lake(spark, d, "region")
+    e.execute("create view v as select * from region")
+    e.execute("create dataset strict (id int not null)")
+    e.execute("create dataset twice as select 1 as r_regionkey union all select 1")
+    cases = {
+        "two statements": "select 1; select 2", "settings": "set x = 1", "copy": "copy region to 'x'", "read by function": "select * from read_csv('x')", "write a view": "insert into v select * from region",
+        "drop kind": "drop dataset v", "null in not null": "insert into strict values (null)", "double match": "merge into region t using twice s on t.r_regionkey = s.r_regionkey when matched then delete",
+    }
+    refused = []
+    for name, sql in cases.items():
+        try:
+            e.execute(sql)
+        except Exception:
+            refused.append((name,))
+    return spark.createDataFrame(refused, "refused string")
+
+
+@query("sql_scalar_function", "select n_nationkey, n_nationkey * 2 as twice from nation")
+def scalar_function(spark, d):
+    from .. import types as ty
+    from ..functions.contract import Parameter, scalar
+
+    e = _lake(spark, d, "nation")
+    e.register("twice", scalar(lambda x: 2 * x, [Parameter("x", ty.parse("Integer"))], ty.parse("Integer"), True))
+    return e.query("select n_nationkey, functions.twice(n_nationkey) as twice from nation")
+
+
+@query("sql_table_function", "select n_nationkey, unnest(range(n_regionkey)) as value from nation")
+def table_function(spark, d):
+    from .. import types as ty
+    from ..functions.contract import Parameter, register_table
+
+    register_table(spark, "upto", lambda n: list(range(n)), [Parameter("n", ty.parse("Integer"))], ty.parse("list<Integer>"))
+    table(spark, d, "nation").createOrReplaceTempView("nation_tf")
+    return spark.sql("select n_nationkey, u.value from nation_tf, lateral upto(cast(n_regionkey as bigint)) u")

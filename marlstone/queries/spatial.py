@@ -1 +1,97 @@
-"""To come."""
+"""Geometry functions and spatial enrichment, over points and boxes made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators.enrich import Layer, Take, enrich, pyramid
+from ..session import table
+from . import query
+
+
+def _points(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.col("c_acctbal").alias("w"), (F.col("c_custkey") % 100).cast("double").alias("x"), (F.col("c_nationkey") * 2).cast("double").alias("y")).withColumn("g", geo.st_point("x", "y"))
+
+
+def _boxes(spark, d):
+    """Boxes of 10 by 10 in a row, one per region, with a value."""
+    r = table(spark, d, "region").withColumn("x", F.col("r_regionkey") * 20.0)
+    text = F.format_string("POLYGON ((%f 0, %f 0, %f 10, %f 10, %f 0))", "x", F.col("x") + 10, F.col("x") + 10, "x", "x")
+    return r.select("r_regionkey", (F.col("r_regionkey") + 1.0).alias("v"), geo.st_geomfromtext(text).alias("g"))
+
+
+_IN = "px > bx and px < bx + 10 and py > 0 and py < 10"
+_PT = "(select c_custkey, cast(c_custkey % 100 as double) as px, cast(c_nationkey * 2 as double) as py from customer)"
+_BX = "(select r_regionkey, r_regionkey + 1.0 as v, r_regionkey * 20.0 as bx from region)"
+
+
+@query("geo_measures", "select r_regionkey, 100.0 as area, 'POLYGON ((' || cast(r_regionkey * 20 as int) || ' 0, ' || cast(r_regionkey * 20 + 10 as int) || ' 0, ' || cast(r_regionkey * 20 + 10 as int) || ' 10, ' || cast(r_regionkey * 20 as int) || ' 10, ' || cast(r_regionkey * 20 as int) || ' 0))' as wkt, r_regionkey * 20.0 as xmin, r_regionkey * 20.0 + 10 as xmax from region")
+def measures(spark, d):
+    b = _boxes(spark, d).withColumn("b", geo.st_bbox("g"))
+    return b.select("r_regionkey", geo.st_area("g").alias("area"), geo.st_astext("g").alias("wkt"), F.col("b.xmin").alias("xmin"), F.col("b.xmax").alias("xmax"))
+
+
+@query("geo_distance", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t where c_custkey <= 200")
+def distance(spark, d):
+    p = _points(spark, d).filter("c_custkey <= 200").withColumn("o", geo.st_point(F.lit(0.0), F.lit(0.0)))
+    return p.select("c_custkey", F.round(geo.st_distance("g", "o"), 9).alias("dist"))
+
+
+@query("geo_box_intersects", "select c_custkey from " + _PT + " t where px between 10 and 30 and py between 5 and 20")
+def box(spark, d):
+    """Points in a box: plain comparisons first, which files can skip by, then the exact predicate."""
+    p = _points(spark, d).filter("x between 10 and 30 and y between 5 and 20").withColumn("e", F.lit(bytearray(geo.st_make_envelope(10, 5, 30, 20))))
+    return p.filter(geo.st_intersects("g", "e")).select("c_custkey")
+
+
+@query("enrich_within", f"select c_custkey, max(v) as v, count(v) as n from {_PT} p left join {_BX} b on {_IN} group by c_custkey")
+def within(spark, d):
+    layer = Layer(_boxes(spark, d), "g", "within", (Take("v", "max", "v"), Take("n", "count")))
+    return enrich(_points(spark, d).select("c_custkey", "g"), "c_custkey", "g", [layer], 10.0).select("c_custkey", "v", "n")
+
+
+@query("enrich_contains_sum", f"select r_regionkey, count(c_custkey) as n, cast(sum(c_custkey) as bigint) as s from {_BX} b left join {_PT} p on {_IN} group by r_regionkey")
+def contains(spark, d):
+    pts = _points(spark, d).select("c_custkey", "g")
+    return enrich(_boxes(spark, d).select("r_regionkey", "g"), "r_regionkey", "g", [Layer(pts, "g", "contains", (Take("n", "count"), Take("s", "sum", "c_custkey")))], 10.0).select("r_regionkey", "n", "s")
+
+
+@query("enrich_around", f"select r_regionkey, count(c_custkey) as n from {_BX} b left join (select * from {_PT} t where c_custkey <= 300) p on greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2 <= 25 group by r_regionkey")
+def around(spark, d):
+    pts = _points(spark, d).filter("c_custkey <= 300").select("c_custkey", "g")
+    return enrich(_boxes(spark, d).select("r_regionkey", "g"), "r_regionkey", "g", [Layer(pts, "g", "intersects", (Take("n", "count"),), around=5.0)], 10.0).select("r_regionkey", "n")
+
+
+@query("enrich_nearest", f"select c_custkey, min(dist) as dist from (select c_custkey, round(sqrt(greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2), 9) as dist from (select * from {_PT} t where c_custkey <= 300) p, {_BX} b) q where dist <= 8 group by 1")
+def nearest(spark, d):
+    layer = Layer(_boxes(spark, d), "g", "nearest", (Take("dist", "distance"),), k=1, max_distance=8.0)
+    got = enrich(_points(spark, d).filter("c_custkey <= 300").select("c_custkey", "g"), "c_custkey", "g", [layer], 10.0)
+    return got.filter("dist is not null").select("c_custkey", F.round("dist", 9).alias("dist"))
+
+
+@query("enrich_areal", "select * from (values (0, 1.5, 1.5), (1, 2.5, 2.5), (2, 3.5, 3.5), (3, 4.5, 4.5)) t(k, extensive, intensive)")
+def areal(spark, d):
+    """A strip over halves of two neighbouring boxes takes half of each total, and their mean."""
+    strips = spark.sql("select k, concat('POLYGON ((', k * 20 + 5, ' 0, ', k * 20 + 25, ' 0, ', k * 20 + 25, ' 10, ', k * 20 + 5, ' 10, ', k * 20 + 5, ' 0))') as t from (select cast(id as int) as k from range(4))").select("k", geo.st_geomfromtext("t").alias("g"))
+    layer = Layer(_boxes(spark, d), "g", "intersects", (Take("extensive", "extensive", "v"), Take("intensive", "intensive", "v")))
+    return enrich(strips, "k", "g", [layer], 10.0).select("k", F.round("extensive", 9).alias("extensive"), F.round("intensive", 9).alias("intensive"))
+
+
+@query("geo_pyramid", "select z as zoom, cast(floor((px + 180) / 360 * 2 ** z * 32) as bigint) as cx, cast(floor((90 - py) / 180 * 2 ** z * 32) as bigint) as cy, count(*) as n from " + _PT + " t, (values (4), (3), (2)) l(z) group by all")
+def pyramid_counts(spark, d):
+    return pyramid(_points(spark, d), "x", "y", 4, 3).select("zoom", "cx", "cy", "n")
+
+
+@query("geo_hilbert_order", "select true as same, true as near")
+def hilbert(spark, d):
+    """Places on the curve are distinct for distinct cells, and neighbours on it touch."""
+    p = spark.range(256).select((F.col("id") % 16).alias("i"), F.floor(F.col("id") / 16).alias("j"))
+    cell = 65536 / 16
+    p = p.withColumn("h", F.floor(geo.hilbert_cell((F.col("i") + 0.5) * 360.0 / 16 - 180, (F.col("j") + 0.5) * 180.0 / 16 - 90) / (cell * cell)))
+    from pyspark.sql import Window
+
+    w = Window.orderBy("h")  # 256 rows
+    step = p.select("h", (F.abs(F.col("i") - F.lag("i").over(w)) + F.abs(F.col("j") - F.lag("j").over(w))).alias("s"))
+    return step.agg((F.count_distinct("h") == 256).alias("same"), (F.max("s") == 1).alias("near"))

@@ -45,7 +45,8 @@ def typed(text: DataFrame, fields: list[Field]) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, fields: list[Field], header: bool = True, separator: str = ",") -> DataFrame:
     """An empty field is null unless it is quoted: then it is the empty text."""
-    options = {"header": header, "sep": separator, "mode": "FAILFAST", "emptyValue": "", "enforceSchema": True, "multiLine": True, "escape": '"'}
+    # an empty field reads as nullValue, a quoted one as emptyValue: a text that no file has tells them apart
+    options = {"header": header, "sep": separator, "mode": "FAILFAST", "nullValue": "\u0001null\u0001", "emptyValue": "", "enforceSchema": True, "multiLine": True, "escape": '"'}
     text = spark.read.options(**options).schema(_as_text(fields)).csv(path)
     return typed(text, fields)
 
