@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import exact_dedup, mixing, segmentation, simhash, toxicity
-from marlstone.llm.common import SPACE_CLASS, cut
+from marlstone.llm.common import SPACE_CLASS, cut, free_name
 
 #: No SQL expresses a learned classifier or sampled segmentations; the tests hold the stages against
 #: brute force.
@@ -18,43 +18,50 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.with_scores(docs, model, out="toxicity_score")
-    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+    score = free_name(docs.columns, "toxicity_score")
+    return toxicity.with_scores(docs, model, out=score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised text the one that op4 keeps stays, once."""
-    kept = exact_dedup.keep_longest(docs).filter("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_sha"))
-    kept = cut(kept.groupBy("keep_doc", "keep_sha").agg(F.count(F.lit(1)).alias("n")))
+    sha, keep_doc, keep_sha = (free_name(docs.columns, n) for n in ("own_sha", "keep_doc", "keep_sha"))
+    kept = exact_dedup.keep_longest(docs).filter("kept").groupBy(F.col("doc_id").alias(keep_doc), F.col("text_sha256").alias(keep_sha))
+    kept = cut(kept.agg(F.count(F.lit(1)).alias("n")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("own_sha", F.sha2(F.regexp_replace(text, SPACE_CLASS, ""), 256))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["keep_doc"]) & (keyed["own_sha"] == kept["keep_sha"]), "left_semi")
+    keyed = docs.withColumn(sha, F.sha2(F.regexp_replace(text, SPACE_CLASS, ""), 256))
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[keep_doc]) & (keyed[sha] == kept[keep_sha]), "left_semi")
     if kept.filter("n > 1").isEmpty():
-        return found.drop("own_sha")
+        return found.drop(sha)
     # rows with one id and equal texts: the longest stays, once
     row = F.max_by(F.struct(*docs.columns), F.length(text)).alias("row")
-    return found.groupBy("doc_id", "own_sha").agg(row).select("row.*")
+    return found.groupBy("doc_id", sha).agg(row).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs)
-    kept = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_doc")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["keep_doc"]), "left_semi")
+    keep_doc = free_name(docs.columns, "keep_doc")
+    kept = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep_doc)).distinct())
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[keep_doc]), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document; the one at a source's budget is cut there."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("mix_doc"), F.col("size").alias("mix_size"), "taken").filter("taken > 0")
-    taken = cut(taken.dropDuplicates(["mix_doc"]))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_doc"]))
-    whole = F.expr("cast(taken div mix_size as int)")
-    part = F.expr("cast(taken % mix_size as int)")
-    sizes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("mix_words", F.explode(sizes))
+    key, mix_key, size, taken, cut_at = (free_name(docs.columns, n) for n in ("row_key", "mix_key", "mix_size", "mix_taken", "mix_cut"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # a row's own name: an id may be null
+    mixed = mixing.mix(keyed.select(key, "text", "source"), id_col=key)
+    mixed = mixed.filter("taken > 0").select(F.col(key).alias(mix_key), F.col("size").alias(size), F.col("taken").alias(taken))
+    mixed = cut(mixed.dropDuplicates([mix_key]))
+    rows = keyed.join(mixed, keyed[key] == mixed[mix_key])
+    whole, part = F.expr(f"cast(`{taken}` div `{size}` as int)"), F.expr(f"cast(`{taken}` % `{size}` as int)")
+    times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn(cut_at, F.explode(times))
     words = F.filter(F.split("text", f"{SPACE_CLASS}+"), lambda w: w != "")
-    text = F.when(F.col("mix_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("mix_words"))), " "))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    text = F.when(F.col(cut_at) < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col(cut_at))), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,17 +51,22 @@ def words(text: str) -> list[str]:
     return [w.casefold() for w in _WORD.findall(text)]
 
 
+def plain(text: str) -> bytes:
+    """What is compressed: letters in one case, white space as single spaces."""
+    return " ".join(text.casefold().split()).encode()
+
+
 class Matcher:
     def __init__(self, wordings: dict[str, tuple[str, ...]] = WORDINGS, level: int = 3):
         self.plain = zstandard.ZstdCompressor(level=level)
         self.items = []
         for name, texts in sorted(wordings.items()):
             for text in texts:
-                d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.items.append((name, words(text), zstandard.ZstdCompressor(level=level, dict_data=d)))
 
     def match(self, block: str) -> Match | None:
-        raw = block.encode()
+        raw = plain(block)
         alone = len(self.plain.compress(raw))
         ranked = sorted((-(alone - len(c.compress(raw))) / alone, name, i) for i, (name, _, c) in enumerate(self.items))
         own = words(block)

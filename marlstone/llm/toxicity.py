@@ -54,7 +54,7 @@ PREFIXES = range(3, 9)
 CHANCE = 1e6
 THRESHOLD = 0.3
 
-_SIGN_IN_WORD = re.compile(r"(?<=[^\W_])[@$!|€+](?=[^\W_])")
+_SIGN_IN_WORD = re.compile(r"(?<=[^\W_])[@$!|€+]{1,2}(?=[^\W_])")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
@@ -84,7 +84,7 @@ def fold(text: str | None) -> str:
     if not text:
         return " "
     text = _INVISIBLE.sub("", text)
-    text = _SIGN_IN_WORD.sub(lambda m: SIGNS[m[0]], text)
+    text = _SIGN_IN_WORD.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
     return f" {' '.join(text.translate(_FOLDING).split())} "
 
 

@@ -55,6 +55,8 @@ BOILER_WORDS = frozenset(
     "copyright skip hidden".split()
 )
 CONTENT_TAGS = ("article", "main")
+LAYOUT = frozenset(("div", "section", "table", "td", "center"))
+MOST_LAYOUT = 12
 
 
 def _is_boiler(tag: str, attrs: dict[str, str]) -> bool:
@@ -140,6 +142,7 @@ def _digest(node: Node, depth: int = 0) -> int:
 
 def _fill(t: Tree, node: Node, depth: int, linked: bool) -> None:
     t.nodes.append(node)
+    run = 0
     for c in node.children:
         if isinstance(c, str):
             n = len(c.strip())
@@ -148,7 +151,9 @@ def _fill(t: Tree, node: Node, depth: int, linked: bool) -> None:
         elif depth < DEPTH:
             link = linked or c.tag == "a"
             name = c.signature
-            if t.kids and t.kids[-1].name == name:
+            run = run + 1 if t.kids and t.kids[-1].name == name else 1
+            # plain containers side by side are parts of a layout, unless there are very many
+            if run > 1 and (name not in LAYOUT or run > MOST_LAYOUT):
                 kid = t.kids[-1]
                 before = (kid.text, kid.links)
                 _fill(kid, c, depth + 1, link)
