@@ -122,7 +122,7 @@ def measure(df: DataFrame, promises: list[Promise], before: dict[str, int] | Non
             case "duplicateValues" | "duplicateItems":
                 cols = list(p.columns or ("digest",))
                 full = df.filter(" and ".join(f"`{c}` is not null" for c in cols))
-                groups = full.groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") - 1)).first()[0]
+                groups = full.groupBy(*cols).agg(F.count(F.lit(1)).alias("__k")).agg(F.sum(F.col("__k") - 1)).first()[0]
                 value = groups or 0
             case _:
                 value = row[f"m{i}"]
