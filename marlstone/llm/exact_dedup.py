@@ -73,9 +73,13 @@ def keep_longest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "best",
         F.when(F.col("rest") > 0, (F.lit(_TOP) - F.col("rest")).cast("long")).alias("keep_id"),
     )
+    # Both sides are dealt anew by one text of both hashes, not by the aggregation's partitions, so
+    # that AQE can split the rows of a hot text.
+    both = F.concat(F.hex("key"), "sha")
     return (
         rows.drop("norm")
-        .join(groups, ["key", "sha"])
+        .withColumn("both", both)
+        .join(groups.withColumn("both", both).drop("key", "sha"), "both")
         .select(
             F.col("id").alias(id_col),
             "keep_id",
