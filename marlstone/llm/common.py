@@ -52,6 +52,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def join_apart(left: DataFrame, grouped: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with groups made of its own rows, by long keys.
+
+    A join straight above an aggregation keeps the aggregation's partitions, and then a hot key of
+    the left side can't be split. The first key is joined as an expression that Spark doesn't see
+    through, so both sides are dealt anew and AQE splits what is hot.
+    """
+    hide = F.col(keys[0]).bitwiseXOR(F.lit(1))
+    a, b = left.withColumn("__j", hide), grouped.withColumn("__j", hide).drop(keys[0])
+    return a.join(b, ["__j", *keys[1:]], how).drop("__j")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, utf8, values, words_of
+from .common import cut, give_back, join_apart, utf8, values, words_of
 from .recompression import Spans, U, recompress, word_hashes
 
 WINDOW = 50
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         _window_batches(window), "ra long, rb long, id long, h1 long, h2 long, p int"
     )
     first = single.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    later = single.join(first, ["h1", "h2"]).filter("a < id").select("ra", "rb", _place("p", "p").alias("place"))
+    later = join_apart(single, first, ["h1", "h2"]).filter("a < id").select("ra", "rb", _place("p", "p").alias("place"))
     places = at_once.unionAll(later).groupBy("ra", "rb").agg(F.collect_set("place").alias("places"))
     kept = t.join(places, ["ra", "rb"], "left").select("id", "text", "places")
     out = kept.mapInArrow(_kept_batches(window, with_text), "id long, n_words long, n_removed long, kept string")
