@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_apart
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -35,10 +35,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_apart(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = join_apart(large, low, ["u"])
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(low.select("u", F.col("m").alias("v")))

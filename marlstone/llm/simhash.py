@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, utf8, words_of
+from .common import cut, give_back, join_apart, utf8, words_of
 from .components import components
 from .golay import near_indices
 
@@ -136,7 +136,7 @@ def _midpoint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _midpoint_links(members: DataFrame) -> DataFrame:
     met = cut(members.mapInArrow(_midpoint_batches, "a long, b long, mid long"))
     heads = met.filter("mid is not null").groupBy("mid").agg(F.min("a").alias("u"), F.count("a").alias("n"))
-    across = met.filter("mid is not null").join(heads.filter("n > 1").drop("n"), "mid")
+    across = join_apart(met.filter("mid is not null"), heads.filter("n > 1").drop("n"), ["mid"])
     return met.filter("mid is null").select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
         across.select("u", F.col("a").alias("v"))
     )
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    named = join_apart(placed, least, ["root"]).select("fp", "component_id")
     return marked.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
