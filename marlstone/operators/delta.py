@@ -84,12 +84,15 @@ def _aggregate(df: DataFrame, node: ir.Aggregate) -> DataFrame:
 class Circuit:
     """A compiled plan with the state of its joins, groups and distincts."""
 
-    def __init__(self, spark: SparkSession, plan: ir.Node):
+    def __init__(self, spark: SparkSession, plan: ir.Node, count_work: bool = False):
+        """count_work: add up in `work` the rows that steps look at (deltas, and touched groups before
+        and after), for a decision between steps and recomputing."""
         mode = analyze(plan)
         if not mode.incremental:
             raise ValueError("no incremental form: " + "; ".join(mode.reasons))
         self.spark, self.plan = spark, plan
         self.state: dict[str, DataFrame] = {}
+        self.count_work, self.work = count_work, 0
 
     def _empty(self, node: ir.Node) -> DataFrame:
         fields = [T.StructField(n, ty.to_spark(f.type)) for n, f in schema_of(node).items()]
@@ -124,6 +127,8 @@ class Circuit:
                 a = self.state.get(f"{path}/l", self._empty(left))
                 b = self.state.get(f"{path}/r", self._empty(right))
                 new[f"{path}/l"], new[f"{path}/r"] = a.unionByName(da), b.unionByName(db)
+                if self.count_work:
+                    self.work += da.count() + db.count()
                 names = [*schema_of(left), *schema_of(right)]
 
                 def product(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -149,6 +154,8 @@ class Circuit:
             touched = delta.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)]).distinct()
             same = lambda df: reduce(lambda p, q: p & q, [df[f"`{c}`"].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)])
             before, after = (x.join(touched, same(x), "left_semi") for x in (before, after))
+        if self.count_work:
+            self.work += delta.count() + before.count() + after.count()
         old = f(consolidate(before))
         return f(consolidate(after)).unionByName(old.withColumn(WEIGHT, -F.col(WEIGHT)))
 

@@ -242,3 +242,143 @@ def test_writer_refuses(spark, tmp_path):
     files.write_dataset(two.limit(1), f"{tmp_path}/w")
     with pytest.raises(ValueError, match="twice"):
         files.write_dataset(two, f"{tmp_path}/w", "upsert", ["k"])
+
+
+# -- tiles, graphs, logs --------------------------------------------------------------------------
+
+
+def _read_tile(data):
+    """A small reader of tiles: name, extent, and (id, type, points or rings) of each feature."""
+
+    def fields(b):
+        at = 0
+
+        def varint():
+            nonlocal at
+            n = shift = 0
+            while True:
+                n |= (b[at] & 0x7F) << shift
+                shift += 7
+                at += 1
+                if not b[at - 1] & 0x80:
+                    return n
+
+        while at < len(b):
+            tag = varint()
+            if tag & 7 == 0:
+                yield tag >> 3, varint()
+            else:
+                size = varint()
+                yield tag >> 3, b[at : at + size]
+                at += size
+
+    (_, body), *_ = fields(data)
+    out, name = [], None
+    for k, v in fields(body):
+        if k == 1:
+            name = v.decode()
+        if k == 2:
+            f = dict(fields(v))
+            values, at = [], 0
+            raw = f[4]
+            while at < len(raw):
+                n = shift = 0
+                while True:
+                    n |= (raw[at] & 0x7F) << shift
+                    shift += 7
+                    at += 1
+                    if not raw[at - 1] & 0x80:
+                        break
+                values.append(n)
+            x = y = i = 0
+            pts = []
+            while i < len(values):
+                command, count = values[i] & 7, values[i] >> 3
+                i += 1
+                if command == 7:
+                    continue
+                for _ in range(count):
+                    dx, dy = ((v >> 1) ^ -(v & 1) for v in values[i : i + 2])
+                    x, y, i = x + dx, y + dy, i + 2
+                    pts.append((x, y))
+            out.append((f[1], f[3], pts))
+    return name, out
+
+
+def test_tile_holds_what_is_inside(spark):
+    from marlstone.operators import tiles
+
+    rows = [(1, "POINT (0.0001 -0.0001)"), (2, "POINT (-90 40)"), (3, "LINESTRING (-10 -10, 10 -10)"), (4, "POLYGON ((1 -1, 20 -1, 20 -20, 1 -20, 1 -1))"), (5, "POINT EMPTY"), (6, None)]
+    df = spark.createDataFrame(rows, "id long, w string").withColumn("g", geo.st_geomfromtext("w"))
+    name, got = _read_tile(tiles.tile_bytes(df, "g", "id", "things", 1, 1, 1))
+    by_id = {i: (k, pts) for i, k, pts in got}
+    assert name == "things" and set(by_id) == {1, 3, 4}
+    assert by_id[1] == (1, [(0, 0)]) and by_id[3][0] == 2 and by_id[3][1][0][0] == -64 and by_id[4][0] == 3 and len(by_id[4][1]) == 4
+    assert tiles.tile_bytes(df.filter("id = 2"), "g", "id", "things", 1, 1, 1) == b""
+    assert tiles.tile_bytes(df, "g", "id", "things", 1, 1, 1) == tiles.tile_bytes(df.repartition(3), "g", "id", "things", 1, 1, 1)
+
+
+def test_tile_index_and_contract(spark):
+    from marlstone.operators import tiles
+
+    df = spark.range(500).select("id", geo.st_point((F.col("id") % 25) * 3.0 - 30, F.floor(F.col("id") / 25) * 2.0 - 20).alias("g"))
+    ordered, cuts, total = tiles.tile_index(df, "g", "id", 4)
+    assert total == sum(range(500)) and len(cuts) == 3
+    for part in ordered.select("hilbert").rdd.glom().collect():
+        assert [r[0] for r in part] == sorted(r[0] for r in part)
+    assert tiles.geo_contract(df, "g") == ("Point", None)
+    mixed = df.select("g").unionAll(spark.createDataFrame([("LINESTRING (0 0, 1 1)",)], "w string").select(geo.st_geomfromtext("w")))
+    assert tiles.geo_contract(mixed, "g")[0] == "Any"
+    with pytest.raises(ValueError):
+        tiles.geo_contract(df, "g", (F.col("id") % 2).cast("int"))
+
+
+def test_spatial_left_join_keeps_all(spark):
+    from marlstone.operators import tiles
+
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 9.0, 9.0), (3, 1.5, 0.5)], "id long, x double, y double").withColumn("g", geo.st_point("x", "y")).drop("x", "y")
+    zones = spark.createDataFrame([("a", "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))"), ("b", "POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))")], "zone string, w string").select("zone", geo.st_geomfromtext("w").alias("z"))
+    got = tiles.spatial_left_join(pts, "id", "g", zones, "z", "within", 1.0).select("id", "right.zone").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a"), (1, "b"), (2, None), (3, "b")]
+
+
+def test_edges_and_reach(spark):
+    from marlstone.operators import graph
+
+    rows = spark.createDataFrame([(1, 2, 9), (2, 3, 9), (3, 1, 9), (4, None, 9), (5, 1, 9)], "id long, boss long, x long")
+    e = graph.Entity("person", ("id",), (graph.Link("boss", ("boss",)), graph.Link("pair", ("boss", "x"))))
+    got = graph.edges(e, rows)
+    assert set(got) == {"boss"} and got["boss"].count() == 4
+    assert graph.edges(graph.Entity("p", ("id", "x"), e.links), rows) == {}
+    reached = graph.reach(spark.createDataFrame([(5,)], "node long"), got["boss"], 3)
+    assert sorted(map(tuple, reached.collect())) == [(1, 1), (2, 2), (3, 3), (5, 0)]
+
+
+def test_execution_log(spark, tmp_path):
+    from marlstone.catalog.execlog import ExecutionLog
+
+    log = ExecutionLog(spark, f"file://{tmp_path}/log")
+    with log.record("ok", "ana") as e:
+        e |= {"reads": ["a"], "rows": 3}
+    with pytest.raises(ZeroDivisionError):
+        with log.record("bad", "ana"):
+            1 / 0
+    got = {r["name"]: r for r in log.rows().collect()}
+    assert got["ok"]["status"] == "ok" and got["ok"]["reads"] == ["a"] and got["bad"]["error"] == "division by zero"
+
+
+def test_work_of_a_step_follows_the_delta(spark):
+    base = spark.range(400).selectExpr("id % 50 as k", "id as v")
+    c = dl.Circuit(spark, ir.Aggregate(A, ("k",), (("n", "count", None),)), count_work=True)
+    c.step({("s", "a"): dl.as_delta(base)})
+    loaded = c.work
+    c.step({("s", "a"): dl.as_delta(spark.createDataFrame([(7, 1)], "k long, v long"))})
+    assert c.work - loaded == 1 + 8 + 9
+
+
+def test_upquery_fills_a_key(spark):
+    from marlstone.operators.state_store import upquery
+
+    df = spark.createDataFrame([(1, 5), (None, 6)], "k long, v long")
+    run = lambda key: [r["v"] for r in to_dataframe(upquery(A, ("k",), key), lambda s: df).collect()]
+    assert run((1,)) == [5] and run((None,)) == [6]
