@@ -244,3 +244,12 @@ def vector_top_k(spark, d):
     e = table(spark, d, "embeddings")
     got = joins.nearest_vectors(e.filter("vec_id < 3"), e, 5, "vec_id", "vec_id", "embedding")
     return got.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("graph_edges_and_reach", "with recursive e as (select o_custkey as s, o_orderkey % 97 as t from orders where o_orderkey <= 2000), r as (select 5 as node, 0 as hop union select t, hop + 1 from r join e on s = node where hop < 3) select node, min(hop) as hop from r group by node")
+def graph_reach(spark, d):
+    from ..operators import graph
+
+    rows = table(spark, d, "orders").filter("o_orderkey <= 2000").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 97).alias("to"))
+    links = graph.edges(graph.Entity("e", ("k",), (graph.Link("to", ("to",)),)), rows)["to"]
+    return graph.reach(spark.createDataFrame([(5,)], "node long"), links, 3).select("node", F.col("hop"))

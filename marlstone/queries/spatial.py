@@ -95,3 +95,30 @@ def hilbert(spark, d):
     w = Window.orderBy("h")  # 256 rows
     step = p.select("h", (F.abs(F.col("i") - F.lag("i").over(w)) + F.abs(F.col("j") - F.lag("j").over(w))).alias("s"))
     return step.agg((F.count_distinct("h") == 256).alias("same"), (F.max("s") == 1).alias("near"))
+
+
+@query("geo_tile_index", "select count(*) as n, cast(sum(c_custkey) % 18446744073709551616 as varchar) as checksum from customer")
+def tile_index(spark, d):
+    """Rows along the Hilbert curve lose none: the sum of ids mod 2^64 is the source's."""
+    from ..operators.tiles import tile_index as index
+
+    ordered, _, total = index(_points(spark, d).select("c_custkey", "g"), "g", "c_custkey", 4)
+    return ordered.agg(F.count(F.lit(1)).alias("n")).withColumn("checksum", F.lit(str(total)))
+
+
+@query("geo_vector_tile", "select true as has_bytes, true as repeatable, true as empty_elsewhere")
+def vector_tile(spark, d):
+    from ..operators.tiles import tile_bytes
+
+    p = _points(spark, d).filter("c_custkey <= 300").select("c_custkey", "g")
+    one, two, none = (tile_bytes(x, "g", "c_custkey", "customers", 1, i, 0) for x, i in ((p, 1), (p.repartition(3), 1), (p, 0)))
+    return spark.createDataFrame([(len(one) > 0, one == two, none == b"" or len(none) < len(one))], "has_bytes boolean, repeatable boolean, empty_elsewhere boolean")
+
+
+@query("geo_left_join", f"select c_custkey, r_regionkey from {_PT} p left join {_BX} b on {_IN}")
+def left_join(spark, d):
+    from ..operators.tiles import spatial_left_join
+
+    pts = _points(spark, d).select("c_custkey", "g")
+    boxes = _boxes(spark, d).select("r_regionkey", F.col("g").alias("z"))
+    return spatial_left_join(pts, "c_custkey", "g", boxes, "z", "within", 10.0).select("c_custkey", F.col("right.r_regionkey").alias("r_regionkey"))

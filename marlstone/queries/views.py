@@ -93,6 +93,22 @@ def rewrite_compensation(spark, d):
     return to_dataframe(plan, lambda s: stored)
 
 
+SLIM = ir.Project(ir.Filter(ORDERS, ir.Compare(">", C("o_totalprice"), L(20000))), (("k", C("o_orderkey")), ("c", C("o_custkey"))))
+FULL = ir.Aggregate(ir.Filter(JOINED, ir.Compare(">", C("o_totalprice"), L(60000))), ("c_mktsegment", "o_orderpriority"), (("n", "count", None), ("top", "max", "o_totalprice")))
+
+
+@query("view_rewrite_join_back", to_sql(FULL, "duckdb"))
+def rewrite_join_back(spark, d):
+    """Hidden columns come back over the unique order key, and the missing relation over its join."""
+    scan = ir.Scan("lake", "slim", (("k", "Integer"), ("c", "Integer")))
+    tree = matching.FilterTree()
+    tree.register("slim", SLIM, scan, seal="s1")
+    assert tree.rewrite(FULL, keys={"orders": "o_orderkey"}, seal="s2") is None
+    name, plan = tree.rewrite(FULL, keys={"orders": "o_orderkey"}, seal="s1")
+    stored = to_dataframe(SLIM, _read(spark, d))
+    return to_dataframe(plan, lambda s: stored if s.relation == "slim" else table(spark, d, s.relation))
+
+
 @query("view_matching_verdicts", "select * from (values ('coarse','mv_orders',''), ('narrow','','no candidate'), ('unfiltered','','the view lacks rows of the query')) t(query, answered_by, reason)")
 def matching_verdicts(spark, d):
     tree = matching.FilterTree()
@@ -238,3 +254,44 @@ def state_protocol(spark, d):
     except ValueError:
         seen.append("refused")
     return spark.createDataFrame(list(enumerate(seen, 1)), "step int, outcome string")
+
+
+# -- SQL texts ------------------------------------------------------------------------------------
+
+_TEXT = "select c_mktsegment, sum(o_totalprice) as spent from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F' group by c_mktsegment"
+
+
+@query(
+    "sql_lineage",
+    """select * from (values ('c_mktsegment','customer','c_mktsegment','direct'), ('spent','orders','o_totalprice','derived'), ('c_mktsegment','orders','o_custkey','indirect'), ('spent','orders','o_custkey','indirect'),
+    ('c_mktsegment','customer','c_custkey','indirect'), ('spent','customer','c_custkey','indirect'), ('c_mktsegment','orders','o_orderstatus','indirect'), ('spent','orders','o_orderstatus','indirect'),
+    ('spent','customer','c_mktsegment','indirect'), ('c_mktsegment','customer','c_mktsegment','indirect')) t(output, relation, root_column, kind)""",
+)
+def sql_lineage(spark, d):
+    from ..plans.sqlscan import analyze
+
+    a = analyze(spark, _TEXT, {n: table(spark, d, n).schema for n in ("orders", "customer")})
+    return spark.createDataFrame([(o.name, r.relation, r.column, r.kind) for o in a.outputs for r in o.references], "output string, relation string, root_column string, kind string")
+
+
+@query("sql_federation_split", "select * from (values ('customer','c_custkey,c_mktsegment',''), ('orders','o_custkey,o_orderstatus,o_totalprice','EqualTo(o_orderstatus,F)')) t(relation, columns, filters)")
+def sql_federation(spark, d):
+    from ..plans.sqlscan import federate
+
+    parts = federate(spark, _TEXT, {n: table(spark, d, n).schema for n in ("orders", "customer")})
+    own = lambda fs: ",".join(f for f in fs if not f.startswith("IsNotNull"))
+    return spark.createDataFrame([(p.relation, ",".join(p.columns), own(p.filters)) for p in parts], "relation string, columns string, filters string")
+
+
+@query("delta_counted_work", "select * from (values ('linear',0), ('group',20)) t(plan, work)")
+def counted_work(spark, d):
+    """Rows that a one-row step looks at: nothing kept for a filter; the row and its group for a count."""
+    a = ir.Scan("s", "a", (("k", "Integer"), ("v", "Integer")))
+    out = []
+    for name, plan in (("linear", ir.Filter(a, ir.Compare(">", C("v"), L(1)))), ("group", ir.Aggregate(a, ("k",), (("n", "count", None),)))):
+        c = Circuit(spark, plan, count_work=True)
+        c.step({("s", "a"): as_delta(spark.range(450).selectExpr("id % 50 as k", "id as v"))})
+        before = c.work
+        c.step({("s", "a"): as_delta(spark.createDataFrame([(7, -1)], "k long, v long"))})
+        out.append((name, c.work - before))
+    return spark.createDataFrame(out, "plan string, work int")
