@@ -122,7 +122,7 @@ def approx_quantile(spark, d):
     return p.select((F.abs(F.col("a") - F.col("m")) < 0.02 * F.col("m")).alias("close"))
 
 
-@query("agg_global_empty", "select count(*) as n, sum(p_size) as s from part where p_size < 0")
+@query("agg_global_empty", "select count(*) as n, cast(sum(p_size) as bigint) as s from part where p_size < 0")
 def global_empty(spark, d):
     return table(spark, d, "part").filter("p_size < 0").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("s"))
 
@@ -133,6 +133,6 @@ def decimal_avg(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(c).cast("double") / F.count(c), 6).cast("decimal(38,6)").cast("string").alias("a"))
 
 
-@query("agg_json_group", "select n_regionkey, to_json(list(n_nationkey order by n_nationkey)) as js from nation group by 1")
+@query("agg_json_group", "select n_regionkey, cast(to_json(list(n_nationkey order by n_nationkey)) as varchar) as js from nation group by 1")
 def json_group(spark, d):
     return table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list("n_nationkey"))).alias("js"))

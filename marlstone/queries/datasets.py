@@ -131,7 +131,7 @@ def refusals(spark, d):
     return spark.createDataFrame(refused, "refused string")
 
 
-@query("sql_scalar_function", "select n_nationkey, n_nationkey * 2 as twice from nation")
+@query("sql_scalar_function", "select n_nationkey, cast(n_nationkey * 2 as bigint) as twice from nation")
 def scalar_function(spark, d):
     from .. import types as ty
     from ..functions.contract import Parameter, scalar

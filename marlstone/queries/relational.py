@@ -246,7 +246,7 @@ def vector_top_k(spark, d):
     return got.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("graph_edges_and_reach", "with recursive e as (select o_custkey as s, o_orderkey % 97 as t from orders where o_orderkey <= 2000), r as (select 5 as node, 0 as hop union select t, hop + 1 from r join e on s = node where hop < 3) select node, min(hop) as hop from r group by node")
+@query("graph_edges_and_reach", "with recursive e as (select o_custkey as s, o_orderkey % 97 as t from orders where o_orderkey <= 2000), r as (select 5 as node, 0 as hop union select t, hop + 1 from r join e on s = node where hop < 3) select cast(node as bigint) as node, min(hop) as hop from r group by node")
 def graph_reach(spark, d):
     from ..operators import graph
 

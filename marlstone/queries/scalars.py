@@ -50,7 +50,7 @@ def dates(spark, d):
     )
 
 
-@query("scalar_math", "select p_partkey, round(p_retailprice, 1) as r, abs(-p_size) as a, floor(p_retailprice) as f, ceil(p_retailprice) as c, sign(p_size - 25) as s, p_size // 7 as q, p_size % 7 as m, cast(p_retailprice / 10 as integer) as i, round(sqrt(p_size), 9) as sq, round(ln(p_size), 9) as ln, power(p_size, 2) as pw from part")
+@query("scalar_math", "select p_partkey, round(p_retailprice, 1) as r, abs(-p_size) as a, floor(p_retailprice) as f, ceil(p_retailprice) as c, cast(sign(p_size - 25) as integer) as s, p_size // 7 as q, p_size % 7 as m, cast(p_retailprice / 10 as integer) as i, round(sqrt(p_size), 9) as sq, round(ln(p_size), 9) as ln, power(p_size, 2) as pw from part")
 def maths(spark, d):
     p, n = F.col("p_retailprice"), F.col("p_size")
     return table(spark, d, "part").select(
@@ -71,7 +71,7 @@ def structs(spark, d):
     return table(spark, d, "nation").select("n_nationkey", s["name"].alias("name"), (s["k"] + 1).alias("k1"))
 
 
-@query("scalar_maps", "select n_regionkey, map_extract(m, 'a')[1] as a, cardinality(m) as n from (select n_regionkey, map {'a': min(n_nationkey), 'b': max(n_nationkey)} as m from nation group by 1) t")
+@query("scalar_maps", "select n_regionkey, map_extract(m, 'a')[1] as a, cast(cardinality(m) as bigint) as n from (select n_regionkey, map {'a': min(n_nationkey), 'b': max(n_nationkey)} as m from nation group by 1) t")
 def maps(spark, d):
     t = table(spark, d, "nation").groupBy("n_regionkey").agg(F.create_map(F.lit("a"), F.min("n_nationkey"), F.lit("b"), F.max("n_nationkey")).alias("m"))
     return t.select("n_regionkey", F.element_at("m", "a").alias("a"), F.size("m").cast("long").alias("n"))

@@ -47,7 +47,7 @@ def _folder(spark):
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-@query("source_csv_rescue", "select n_nationkey as k, case when n_nationkey % 5 = 0 then null else n_nationkey end as v, case when n_nationkey % 5 = 0 then '{\"v\":\"bad' || n_nationkey || '\"}' end as _rescued_data from nation")
+@query("source_csv_rescue", "select cast(n_nationkey as bigint) as k, case when n_nationkey % 5 = 0 then null else cast(n_nationkey as bigint) end as v, case when n_nationkey % 5 = 0 then '{\"v\":\"bad' || n_nationkey || '\"}' end as _rescued_data from nation")
 def csv_rescue(spark, d):
     path = _folder(spark)
     n = table(spark, d, "nation")
@@ -55,7 +55,7 @@ def csv_rescue(spark, d):
     return files.read_csv(spark, path, [Field("k", ty.parse("Integer")), Field("v", ty.parse("Integer")), Field(files.RESCUED, ty.parse("String"))])
 
 
-@query("source_csv_nulls", "select * from (values (1, null, ''), (2, 'x', 'y')) t(k, a, b)")
+@query("source_csv_nulls", "select cast(k as bigint) as k, a, b from (values (1, null, ''), (2, 'x', 'y')) t(k, a, b)")
 def csv_nulls(spark, d):
     path = _folder(spark)
     spark.createDataFrame([('1,,""',), ("2,x,y",)], "line string").coalesce(1).write.text(path)
@@ -143,7 +143,7 @@ def admission(spark, d):
     return spark.createDataFrame(rows, "query string, klass string")
 
 
-@query("derive_incremental", "select n_nationkey as item, 'ok' as status, length(n_name) as n, case when n_nationkey < 5 then 'again' else 'kept' end as how from nation where n_nationkey <> 24 and n_nationkey <> 23 union all select 23, 'error: boom', null, 'kept'")
+@query("derive_incremental", "select n_nationkey as item, 'ok' as status, cast(length(n_name) as integer) as n, case when n_nationkey < 5 then 'again' else 'kept' end as how from nation where n_nationkey <> 24 and n_nationkey <> 23 union all select 23, 'error: boom', null, 'kept'")
 def derive(spark, d):
     """Items derived once; then five change, one goes, and only the five are computed again."""
     items = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("path"), F.md5("n_name").alias("digest"), F.col("n_name").alias("body"))

@@ -24,10 +24,10 @@ def _boxes(spark, d):
 
 _IN = "px > bx and px < bx + 10 and py > 0 and py < 10"
 _PT = "(select c_custkey, cast(c_custkey % 100 as double) as px, cast(c_nationkey * 2 as double) as py from customer)"
-_BX = "(select r_regionkey, r_regionkey + 1.0 as v, r_regionkey * 20.0 as bx from region)"
+_BX = "(select r_regionkey, cast(r_regionkey + 1 as double) as v, cast(r_regionkey * 20 as double) as bx from region)"
 
 
-@query("geo_measures", "select r_regionkey, 100.0 as area, 'POLYGON ((' || cast(r_regionkey * 20 as int) || ' 0, ' || cast(r_regionkey * 20 + 10 as int) || ' 0, ' || cast(r_regionkey * 20 + 10 as int) || ' 10, ' || cast(r_regionkey * 20 as int) || ' 10, ' || cast(r_regionkey * 20 as int) || ' 0))' as wkt, r_regionkey * 20.0 as xmin, r_regionkey * 20.0 + 10 as xmax from region")
+@query("geo_measures", "select r_regionkey, 100.0::double as area, 'POLYGON ((' || cast(r_regionkey * 20 as int) || ' 0, ' || cast(r_regionkey * 20 + 10 as int) || ' 0, ' || cast(r_regionkey * 20 + 10 as int) || ' 10, ' || cast(r_regionkey * 20 as int) || ' 10, ' || cast(r_regionkey * 20 as int) || ' 0))' as wkt, cast(r_regionkey * 20 as double) as xmin, cast(r_regionkey * 20 + 10 as double) as xmax from region")
 def measures(spark, d):
     b = _boxes(spark, d).withColumn("b", geo.st_bbox("g"))
     return b.select("r_regionkey", geo.st_area("g").alias("area"), geo.st_astext("g").alias("wkt"), F.col("b.xmin").alias("xmin"), F.col("b.xmax").alias("xmax"))
@@ -71,7 +71,7 @@ def nearest(spark, d):
     return got.filter("dist is not null").select("c_custkey", F.round("dist", 9).alias("dist"))
 
 
-@query("enrich_areal", "select * from (values (0, 1.5, 1.5), (1, 2.5, 2.5), (2, 3.5, 3.5), (3, 4.5, 4.5)) t(k, extensive, intensive)")
+@query("enrich_areal", "select k, k + 1.5::double as extensive, k + 1.5::double as intensive from (values (0), (1), (2), (3)) t(k)")
 def areal(spark, d):
     """A strip over halves of two neighbouring boxes takes half of each total, and their mean."""
     strips = spark.sql("select k, concat('POLYGON ((', k * 20 + 5, ' 0, ', k * 20 + 25, ' 0, ', k * 20 + 25, ' 10, ', k * 20 + 5, ' 10, ', k * 20 + 5, ' 0))') as t from (select cast(id as int) as k from range(4))").select("k", geo.st_geomfromtext("t").alias("g"))

@@ -220,7 +220,7 @@ def delta_aggregate(spark, d):
     return rows_of(_loaded(spark, d))
 
 
-@query("delta_distinct", "select distinct o_orderpriority, c_nationkey from orders join customer on o_custkey = c_custkey where o_orderstatus <> 'P'")
+@query("delta_distinct", "select distinct o_orderpriority, cast(c_nationkey as bigint) as c_nationkey from orders join customer on o_custkey = c_custkey where o_orderstatus <> 'P'")
 def delta_distinct(spark, d):
     plan = ir.Distinct(ir.Project(JOINED, (("o_orderpriority", C("o_orderpriority")), ("c_nationkey", C("c_nationkey")))))
     return rows_of(_loaded(spark, d, plan))
