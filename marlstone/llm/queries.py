@@ -183,5 +183,28 @@ from f
 """
 
 
+OP10_SQL = r"""
+with t as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), p as (
+  select r, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) as win
+  from (select r, doc_id, ws, unnest(range(1, len(ws) - 48)) as i from t where len(ws) >= 50) q
+), f as (
+  select win, min(doc_id) as m from p group by win
+), b as (
+  select r, i from p join f using (win) where m < doc_id
+), w as (
+  select r, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from t
+), g as (
+  select w.r, w.word, w.j, count(b.i) over (partition by w.r order by w.j rows between 49 preceding and current row) > 0 as gone
+  from w left join b on b.r = w.r and b.i = w.j
+), k as (
+  select r, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by j) filter (where not gone) as kept from g group by r
+)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from t left join k using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc_revisits": OP5_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op10_substring_dedup": OP10_SQL}
