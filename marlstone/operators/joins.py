@@ -24,20 +24,39 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return df
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, take: list[str], tie: str, inclusive: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, take: list[str], tie: str, inclusive: bool = True, buckets: int = 1) -> DataFrame:
     """Each left row with `take` of the latest right row of equal keys at or before its time.
 
     One union and one window: no product of the sides. Of right rows with one time the largest
     `tie` counts. Keys are equal as in a join: a null key has no match.
+
+    A key's rows are one group of the window. Where a key may hold a great share of all rows, give a
+    number of buckets: time is cut at so many quantiles of the right side, each group is one key in
+    one bucket, and the last right row of earlier buckets is carried in by a window over buckets.
     """
     keys = [F.col(k) for k in on]
     payload = F.struct(*[F.col(c).alias(c) for c in take])
+    bounds: list = []
+    if buckets > 1:
+        got = right.agg(F.percentile_approx(right_time, [i / buckets for i in range(1, buckets)], 1000)).first()[0]
+        bounds = sorted(set(got or []))
+    bucket = F.lit(0)
+    for b in bounds:
+        bucket = bucket + (F.col("__t") > F.lit(b)).cast("int")
     lefts = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1 if inclusive else -1).alias("__side"), F.lit(None).alias("__tie"), F.struct(*left.columns).alias("__left"), F.lit(None).alias("__right"))
     rights = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).alias("__left"), payload.alias("__right"))
-    w = Window.partitionBy(*on).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rights = rights.withColumn("__b", bucket)
+    both = lefts.withColumn("__b", bucket).unionByName(rights)
+    w = Window.partitionBy(*on, "__b").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).filter("__left is not null")
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on], F.lit(True))
-    both = lefts.unionByName(rights).withColumn("__found", F.last("__right", ignorenulls=True).over(w))
-    return both.filter("__left is not null").select("__left.*", *[F.when(known, F.col(f"__found.{c}")).alias(c) for c in take])
+    if bounds:
+        last = rights.groupBy(*on, "__b").agg(F.max_by("__right", F.struct("__t", "__tie")).alias("__last"))
+        spots = both.select(*on, "__b").distinct().join(last, [*on, "__b"], "full")
+        before = Window.partitionBy(*on).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = spots.select(*on, "__b", F.last("__last", ignorenulls=True).over(before).alias("__far"))
+        both = both.join(carried, [*on, "__b"], "left").withColumn("__found", F.coalesce("__found", "__far"))
+    return both.select("__left.*", *[F.when(known, F.col(f"__found.{c}")).alias(c) for c in take])
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:

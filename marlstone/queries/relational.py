@@ -98,15 +98,21 @@ def join_theta(spark, d):
     return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
 
 
-@query(
-    "asof_join",
-    """select e.event_id, o.order_id from (select event_id, user_id, ts from events) e
-    asof left join (select max(event_id) as order_id, user_id, ts from events where event_type = 'purchase' group by user_id, ts) o on e.user_id = o.user_id and e.ts >= o.ts""",
-)
-def asof(spark, d):
+_ASOF = """select e.event_id, o.order_id from (select event_id, user_id, ts from events) e
+    asof left join (select max(event_id) as order_id, user_id, ts from events where event_type = 'purchase' group by user_id, ts) o on e.user_id = o.user_id and e.ts >= o.ts"""
+
+
+@query("asof_join", _ASOF)
+def asof(spark, d, buckets=1):
     e = table(spark, d, "events")
     buys = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("order_id"), "user_id", "ts")
-    return joins.asof_join(e.select("event_id", "user_id", "ts"), buys, ["user_id"], "ts", "ts", ["order_id"], "order_id").select("event_id", "order_id")
+    return joins.asof_join(e.select("event_id", "user_id", "ts"), buys, ["user_id"], "ts", "ts", ["order_id"], "order_id", buckets=buckets).select("event_id", "order_id")
+
+
+@query("asof_join_buckets", _ASOF)
+def asof_buckets(spark, d):
+    """The same, with keys cut in time."""
+    return asof(spark, d, buckets=8)
 
 
 @query(

@@ -83,6 +83,17 @@ def test_asof_ties_nulls_and_bounds(spark):
     assert strict[("a", 5)] == 10 and strict[("a", 1)] is None
 
 
+def test_asof_in_buckets_is_the_same(spark):
+    rng = random.Random(4)
+    left = spark.createDataFrame([(rng.choice("aab"), rng.randrange(100), i) for i in range(200)], "k string, t int, i int")
+    right = spark.createDataFrame([(rng.choice("aac"), rng.randrange(100), i) for i in range(80)], "k string, u int, x int")
+    for inclusive in (True, False):
+        one, many = (sorted(map(str, joins.asof_join(left, right, ["k"], "t", "u", ["x"], "x", inclusive, n).collect())) for n in (1, 7))
+        assert one == many
+    none = joins.asof_join(left, right.limit(0), ["k"], "t", "u", ["x"], "x", buckets=5)
+    assert none.count() == 200 and none.filter("x is not null").isEmpty()
+
+
 def test_range_join_meets_each_pair_once(spark):
     rng = random.Random(1)
     points = [(i, rng.uniform(0, 20)) for i in range(60)]
