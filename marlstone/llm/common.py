@@ -34,11 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later plans start there, so what
     a lost executor held is read again, and nothing above the cut is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_own_cuts(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_cuts(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's cuts, once no DataFrame that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_cuts(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """wish, with underscores put before it until no column has that name in any case."""
     low = {c.lower() for c in taken}

@@ -229,3 +229,14 @@ def test_symbols_recur_with_their_context(middle, before, after):
         found.append({(int(n), int(a) - lo, int(b) - lo) for n, a, b in zip(s.name[inside], s.start[inside], s.end[inside])})
     assert found[0] == found[1] or found[0] <= found[1] or found[1] <= found[0]
     assert found[0] == found[1]
+
+
+def test_cuts_are_released(spark):
+    from marlstone.llm.common import cut, release
+
+    df = cut(spark.range(5))
+    assert df.count() == 5
+    release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
+    assert cut(spark.range(3)).count() == 3
