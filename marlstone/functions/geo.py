@@ -473,3 +473,10 @@ def st_point(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 
 def st_make_envelope(x1: float, y1: float, x2: float, y2: float) -> bytes:
     return encode(("Polygon", "", [[(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]]))
+
+
+def register(spark) -> None:
+    """The functions under their SQL names."""
+    made = (st_area, st_astext, st_geomfromtext, st_normalize, st_bbox, st_distance, st_intersects, st_contains, st_intersection_area, hilbert_cell, st_point)
+    for f in made:
+        spark.udf.register(f.__name__, f)

@@ -149,3 +149,31 @@ def table_function(spark, d):
     register_table(spark, "upto", lambda n: list(range(n)), [Parameter("n", ty.parse("Integer"))], ty.parse("list<Integer>"))
     table(spark, d, "nation").createOrReplaceTempView("nation_tf")
     return spark.sql("select n_nationkey, u.value from nation_tf, lateral upto(cast(n_regionkey as bigint)) u")
+
+
+@query("sql_materialized_view", "select 'stale' as at, count(*) as n from nation where n_nationkey < 20 union all select 'fresh', count(*) from nation where n_nationkey < 10")
+def materialized_view(spark, d):
+    """Stored rows stay as they are until the view is refreshed."""
+    e = _lake(spark, d, "nation")
+    e.execute("create materialized view some as select n_nationkey from nation where n_nationkey < 20")
+    e.execute("delete from nation where n_nationkey >= 10")
+    stale = e.query("select 'stale' as at, count(*) as n from some")
+    e.execute("refresh materialized view some")
+    return stale.unionAll(e.query("select 'fresh' as at, count(*) as n from some"))
+
+
+@query("sql_null_order", "select k, row_number() over () as place from (select n_nationkey as k, case when n_regionkey = 2 then null else n_regionkey end as r from nation order by r desc nulls first, k) t")
+def null_order(spark, d):
+    e = _lake(spark, d, "nation")
+    return e.query("select k, cast(row_number() over (order by r desc, k) as bigint) as place from (select n_nationkey as k, case when n_regionkey = 2 then null else n_regionkey end as r from nation) t")
+
+
+@query("sql_changes_feed", "select n_nationkey, -1 as weight from nation where n_nationkey < 3 union all select 100, 1")
+def changes_feed(spark, d):
+    """What came and went between two snapshots."""
+    e = _lake(spark, d, "nation")
+    since = e.dataset("nation").head().id
+    e.execute("delete from nation where n_nationkey < 3")
+    e.execute("insert into nation (n_nationkey) values (100)")
+    got = e.dataset("nation").changes(since)
+    return got.selectExpr("n_nationkey", "cast(__weight as int) as weight")

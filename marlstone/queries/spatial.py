@@ -122,3 +122,12 @@ def left_join(spark, d):
     pts = _points(spark, d).select("c_custkey", "g")
     boxes = _boxes(spark, d).select("r_regionkey", F.col("g").alias("z"))
     return spatial_left_join(pts, "c_custkey", "g", boxes, "z", "within", 10.0).select("c_custkey", F.col("right.r_regionkey").alias("r_regionkey"))
+
+
+@query("geo_sql_functions", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t where px between 10 and 30 and py between 5 and 20")
+def sql_functions(spark, d):
+    """The same predicates by their SQL names."""
+    geo.register(spark)
+    _points(spark, d).createOrReplaceTempView("geo_points")
+    box = "st_geomfromtext('POLYGON ((10 5, 30 5, 30 20, 10 20, 10 5))')"
+    return spark.sql(f"select c_custkey, round(st_distance(g, st_point(0D, 0D)), 9) as dist from geo_points where x between 10 and 30 and y between 5 and 20 and st_intersects(g, {box})")
