@@ -83,10 +83,10 @@ def _blocks(node: Node, path: str, boiler: bool, out: list[tuple[str, bool, Node
         for c in n.children:
             if isinstance(c, str):
                 pending.append(c)
-            elif c.tag in BLOCK or _is_boiler(c.tag, c.attrs):
+            elif c.tag in BLOCK:
                 flush()
                 _blocks(c, f"{path}/{c.signature}", boiler or _is_boiler(c.tag, c.attrs), out)
-            else:
+            elif not _is_boiler(c.tag, c.attrs):  # a script or an inline advert leaves its block whole
                 if c.tag == "br":
                     pending.append(" ")
                 inline(c)

@@ -190,3 +190,24 @@ def test_tree_matching_counts_the_largest_ordered_match():
     a = wrapper.tree_of(html_dom.parse("<div><p>1</p><ul><li>x</li></ul><span>s</span></div>"))
     b = wrapper.tree_of(html_dom.parse("<div><ul><li>y</li></ul><p>2</p><span>t</span></div>"))
     assert wrapper.match(a, b)[0] == 5  # root, div, ul, li, span
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<p><a href="x"">text</a> <b class="c">z</b></p>', "text z"), ('<p title="a > b">in</p>', "in"), ("<p title='it>s'>in</p>", "in"), ('<p title="open>kept</p><p>too</p>', "kept\ntoo"),
+        ("<p>a<br/>b<BR>c</p>", "a b c"), ("<p>x<script>if (a<b) { '</p>' }</script>y</p>", "xy"), ("a<p>b</div>c", "a\nbc"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
+        ("<p>&lt;b&gt; &#8364; &amp;amp; &nosuch;</p>", "<b> € &amp; &nosuch;"), ("<!-- a --><p>b</p><!-- open", "b"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+    ],
+)
+def test_markup(source, want):
+    assert wrapper.extract(source, None) == want
+
+
+def test_many_open_quotes_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    wrapper.extract('<a href="' * 20_000, None)
+    wrapper.extract("<" * 50_000 + "<p>x", None)
+    assert time.monotonic() - began < 5
