@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .delta import stored
+
 #: A side is broadcast only when its counted rows and estimated bytes are below these.
 BROADCAST_ROWS = 150_000
 BROADCAST_BYTES = 48 << 20
@@ -89,6 +91,20 @@ def qualify(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__q", condition).filter("__q").drop("__q")
 
 
+def places(df: DataFrame, order: list[Column], output: str, slice_rows: int = 10_000) -> DataFrame:
+    """df with each row's place, from 1, in a total order of all rows.
+
+    Rows are dealt in ranges of the order and stored, so a slice keeps its rows; a slice's own places
+    follow the counts of those before it. Only these counts, one a slice, are ever summed up in one task.
+    """
+    dealt = stored(df.repartitionByRange(df.count() // slice_rows + 1, *order).withColumn("__slice", F.spark_partition_id()))
+    sizes = dealt.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
+    return dealt.join(starts, "__slice").withColumn(output, F.col("__start") + own).drop("__slice", "__start")
+
+
 def nearest_vectors(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vector: str, metric: str = "cosine") -> DataFrame:
     """The k best items for each of a small set of query vectors, by cosine or inner product, exact.
 

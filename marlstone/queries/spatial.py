@@ -34,11 +34,16 @@ def measures(spark, d):
 
 
 @query("geo_distance", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t where c_custkey <= 200")
-def distance(spark, d):
-    p = _points(spark, d).filter("c_custkey <= 200").withColumn("o", geo.st_point(F.lit(0.0), F.lit(0.0)))
+def distance(spark, d, only="c_custkey <= 200"):
+    p = _points(spark, d).filter(only).withColumn("o", geo.st_point(F.lit(0.0), F.lit(0.0)))
     return p.select("c_custkey", F.round(geo.st_distance("g", "o"), 9).alias("dist"))
 
 
+@query("geo_distance_whole", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t")
+def distance_whole(spark, d):
+    return distance(spark, d, "true")
+
+
 @query("geo_box_intersects", "select c_custkey from " + _PT + " t where px between 10 and 30 and py between 5 and 20")
 def box(spark, d):
     """Points in a box: plain comparisons first, which files can skip by, then the exact predicate."""
@@ -59,18 +64,28 @@ def contains(spark, d):
 
 
 @query("enrich_around", f"select r_regionkey, count(c_custkey) as n from {_BX} b left join (select * from {_PT} t where c_custkey <= 300) p on greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2 <= 25 group by r_regionkey")
-def around(spark, d):
-    pts = _points(spark, d).filter("c_custkey <= 300").select("c_custkey", "g")
+def around(spark, d, only="c_custkey <= 300"):
+    pts = _points(spark, d).filter(only).select("c_custkey", "g")
     return enrich(_boxes(spark, d).select("r_regionkey", "g"), "r_regionkey", "g", [Layer(pts, "g", "intersects", (Take("n", "count"),), around=5.0)], 10.0).select("r_regionkey", "n")
 
 
+@query("enrich_around_whole", f"select r_regionkey, count(c_custkey) as n from {_BX} b left join {_PT} p on greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2 <= 25 group by r_regionkey")
+def around_whole(spark, d):
+    return around(spark, d, "true")
+
+
 @query("enrich_nearest", f"select c_custkey, min(dist) as dist from (select c_custkey, round(sqrt(greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2), 9) as dist from (select * from {_PT} t where c_custkey <= 300) p, {_BX} b) q where dist <= 8 group by 1")
-def nearest(spark, d):
+def nearest(spark, d, only="c_custkey <= 300"):
     layer = Layer(_boxes(spark, d), "g", "nearest", (Take("dist", "distance"),), k=1, max_distance=8.0)
-    got = enrich(_points(spark, d).filter("c_custkey <= 300").select("c_custkey", "g"), "c_custkey", "g", [layer], 10.0)
+    got = enrich(_points(spark, d).filter(only).select("c_custkey", "g"), "c_custkey", "g", [layer], 10.0)
     return got.filter("dist is not null").select("c_custkey", F.round("dist", 9).alias("dist"))
 
 
+@query("enrich_nearest_whole", f"select c_custkey, min(dist) as dist from (select c_custkey, round(sqrt(greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2), 9) as dist from {_PT} p, {_BX} b) q where dist <= 8 group by 1")
+def nearest_whole(spark, d):
+    return nearest(spark, d, "true")
+
+
 @query("enrich_areal", "select k, k + 1.5::double as extensive, k + 1.5::double as intensive from (values (0), (1), (2), (3)) t(k)")
 def areal(spark, d):
     """A strip over halves of two neighbouring boxes takes half of each total, and their mean."""
@@ -107,14 +122,19 @@ def tile_index(spark, d):
 
 
 @query("geo_vector_tile", "select true as has_bytes, true as repeatable, true as empty_elsewhere")
-def vector_tile(spark, d):
+def vector_tile(spark, d, only="c_custkey <= 300"):
     from ..operators.tiles import tile_bytes
 
-    p = _points(spark, d).filter("c_custkey <= 300").select("c_custkey", "g")
+    p = _points(spark, d).filter(only).select("c_custkey", "g")
     one, two, none = (tile_bytes(x, "g", "c_custkey", "customers", 1, i, 0) for x, i in ((p, 1), (p.repartition(3), 1), (p, 0)))
     return spark.createDataFrame([(len(one) > 0, one == two, none == b"" or len(none) < len(one))], "has_bytes boolean, repeatable boolean, empty_elsewhere boolean")
 
 
+@query("geo_vector_tile_whole", "select true as has_bytes, true as repeatable, true as empty_elsewhere")
+def vector_tile_whole(spark, d):
+    return vector_tile(spark, d, "true")
+
+
 @query("geo_left_join", f"select c_custkey, r_regionkey from {_PT} p left join {_BX} b on {_IN}")
 def left_join(spark, d):
     from ..operators.tiles import spatial_left_join
