@@ -317,13 +317,12 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     read: dict = {}
     for batch in batches:
         texts = []
-        for source, wrapper, constants in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "constants"))):
-            key = (wrapper, len(constants or ()))
-            if key not in read:
+        for host, source, wrapper, constants in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "constants"))):
+            if host not in read:  # two hosts may have one wrapper, but each has constants of its own
                 if len(read) > 256:
                     read.clear()
-                read[key] = (json.loads(wrapper) if wrapper else None, {(c["path"], c["text"]) for c in constants or ()})
-            texts.append(extract(source, *read[key]))
+                read[host] = (json.loads(wrapper) if wrapper else None, {(c["path"], c["text"]) for c in constants or ()})
+            texts.append(extract(source, *read[host]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["id", "url", "text", "n_chars"],

@@ -180,6 +180,14 @@ def test_odd_pages(spark):
     assert wrapper.main_text(df.limit(0)).collect() == []
 
 
+def test_hosts_of_one_layout_keep_their_own_constants(spark):
+    page = "<body><article><p>{line}</p><p>Story {n} of {host}.</p></article></body>"
+    rows = [(i * 10 + n, f"http://{host}/{n}", page.format(line=line, n=n, host=host)) for i, (host, line) in enumerate([("a.example", "Tagline of a"), ("b.example", "Tagline of b")]) for n in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(df).collect()}
+    assert got == {i * 10 + n: f"Story {n} of {host}." for i, host in enumerate(["a.example", "b.example"]) for n in range(9)}
+
+
 def test_copies_of_a_page_are_not_template(spark):
     rows = [(n, "http://copies/x", "<article><p>Only story here</p></article>") for n in range(6)]
     got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
