@@ -1,15 +1,19 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host come from few templates. A bounded number of pages of each host (smallest hash of
-the id) is aligned by simple tree matching - the largest order-preserving matching of equal-named
-nodes - into one tree: the host's wrapper. A node with the same text on all of them is template; one
-whose text is mostly links is navigation; slots with varying text are content, unless their element
-or class says what they are (nav, footer, advert, comments, ...). Every page is then aligned with
-its host's wrapper, and the blocks in its content slots are its text. Besides, short blocks that at
-least CONSTANT_SHARE of all a host's different pages repeat at one place are template; these counts
-cover all pages.
-
-The wrappers are small, one row a host; pages meet them by a join on the host, whose hot keys AQE
+Pages of a host come from few templates. A page's layout is the row of its containers with their
+classes. A bounded number of different pages of each host, and of each layout of a host that has
+enough, (smallest hash of the html) is aligned by simple tree matching - the largest
+order-preserving matching of equal-named nodes - into one tree: the wrapper. A node whose text is
+mostly links is navigation; others are content, unless their element or class says what they are
+(nav, footer, advert, comments, ...). Every page is then aligned with its layout's wrapper, or else
+its host's, and the blocks in its content slots are its text, without the constant ones.
+
+Constants are counted over all pages. A short block is template if CONSTANT_SHARE of a host's
+different pages repeat it at one place, or of those in one layout, or of those that have the place
+at all. In the last two counts pages with one longest block are one, so that an article's
+own lines are not template because the article was copied with another date.
+
+The wrappers are small, one row a host or layout; pages meet them by a join, whose hot keys AQE
 splits. No task holds a host.
 
 Defined cases: null or empty html has empty text; a null or odd url belongs to the host ''; a page
@@ -21,7 +25,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .html_dom import BLOCK, Node, parse
 
-#: Pages of a host that its wrapper is induced from at most.
+#: Different pages of a host or layout that its wrapper is induced from at most.
 EXEMPLARS = 8
-#: A block up to so long, on so many and such a share of a host's different pages, is template.
+#: A block up to so long, on so many and such a share of different pages, is template; a layout with
+#: so many different pages has a wrapper of its own.
 CONSTANT_CHARS = 300
 CONSTANT_PAGES = 3
 CONSTANT_SHARE = 0.6
@@ -109,37 +113,22 @@ def blocks_of(source: str | None) -> tuple[Node, list[tuple[str, bool, Node, str
 class Tree:
     """A wrapper node, or a page's in the same form: runs of equal-named siblings are one node."""
 
-    __slots__ = ("name", "kids", "nodes", "boiler", "text", "links", "pages", "texts")
+    __slots__ = ("name", "kids", "nodes", "boiler", "text", "links", "role")
 
     def __init__(self, name: str, boiler: bool):
         self.name, self.boiler = name, boiler
         self.kids: list[Tree] = []
         self.nodes: list[Node] = []
         self.text = self.links = 0
-        self.pages, self.texts = 1, None
+        self.role: str | None = None
 
 
 def tree_of(node: Node, depth: int = 0, linked: bool = False) -> Tree:
     t = Tree(node.signature, _is_boiler(node.tag, node.attrs))
     _fill(t, node, depth, linked)
-    t.texts = {_digest(node)}
     return t
 
 
-def _digest(node: Node, depth: int = 0) -> int:
-    parts = []
-
-    def walk(n: Node, d: int) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                parts.append(c)
-            elif d < DEPTH:
-                walk(c, d + 1)
-
-    walk(node, depth)
-    return xxhash.xxh64_intdigest(" ".join("".join(parts).split()))
-
-
 def _fill(t: Tree, node: Node, depth: int, linked: bool) -> None:
     t.nodes.append(node)
     run = 0
@@ -157,7 +146,6 @@ def _fill(t: Tree, node: Node, depth: int, linked: bool) -> None:
                 kid = t.kids[-1]
                 before = (kid.text, kid.links)
                 _fill(kid, c, depth + 1, link)
-                kid.texts = {_digest(c)} | kid.texts
             else:
                 kid = tree_of(c, depth + 1, link)
                 before = (0, 0)
@@ -195,8 +183,6 @@ def match(a: Tree, b: Tree, memo: dict | None = None) -> tuple[int, list[tuple[T
 def _merge(into: Tree, other: Tree, memo: dict) -> None:
     into.text += other.text
     into.links += other.links
-    into.pages += 1
-    into.texts |= other.texts
     partner = {id(b): a for a, b in match(into, other, memo)[1]}
     at = 0
     for kid in other.kids:
@@ -210,7 +196,7 @@ def _merge(into: Tree, other: Tree, memo: dict) -> None:
 
 
 def induce(pages: list[str | None]) -> list:
-    """The wrapper of pages of one host, as nested lists [name, role, children]."""
+    """The wrapper of pages of one host or layout, as nested lists [name, role, children]."""
     trees = [tree_of(parse(p)) for p in pages]
     wrapper = trees[0] if trees else Tree("#root", False)
     for t in trees[1:]:
@@ -219,8 +205,6 @@ def induce(pages: list[str | None]) -> list:
     def plain(t: Tree) -> list:
         if t.boiler:
             role = "boiler"
-        elif t.pages >= CONSTANT_PAGES and t.text and len(t.texts) == 1 and t.text / t.pages <= CONSTANT_CHARS:
-            role = "template"
         elif t.text and t.links > LINK_SHARE * t.text and t.name.split(".")[0] not in ("p", "body", "html", *CONTENT_TAGS):
             role = "links"
         else:
@@ -232,7 +216,7 @@ def induce(pages: list[str | None]) -> list:
 
 def _as_tree(plain: list) -> Tree:
     t = Tree(plain[0], False)
-    t.texts = plain[1]
+    t.role = plain[1]
     t.kids = [_as_tree(k) for k in plain[2]]
     return t
 
@@ -249,7 +233,7 @@ def extract(source: str | None, wrapper: list | None, constants: set[tuple[str,
 
             def walk(a: Tree, b: Tree) -> None:
                 for x, y in match(a, b, memo)[1]:
-                    if y.texts != "content":
+                    if y.role != "content":
                         out_of.update(id(n) for n in x.nodes)
                     else:
                         walk(x, y)
@@ -289,71 +273,115 @@ def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _layout():
+    """A hash of the containers of a page with their classes, as they are opened."""
+    tags = F.regexp_extract_all(F.lower("html"), F.lit(r"<(?:div|section|article|main|nav|aside|header|footer|form|table|center)\b[^<>]*"), F.lit(0))
+    name = lambda t: F.regexp_extract(t, r"^<(\w+)", 1)
+    marks = lambda t: F.regexp_replace(F.regexp_extract(t, r"\sclass\s*=\s*(\"[^\"]*|'[^']*|[^\s>]*)", 1), r"[\"'\d]+", "0")
+    return F.xxhash64(F.transform(tags, lambda t: F.concat_ws(".", name(t), marks(t))))
+
+
 def _short_block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different short blocks of each page; page and main name the page by its html and by its longest block."""
     for batch in batches:
-        seen: Counter = Counter()
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        seen: dict = {}
+        for host, layout, source in zip(*(c.to_pylist() for c in batch.columns)):
             page = xxhash.xxh64_intdigest(source or "") >> 1
-            for path, boiler, _, text in blocks_of(source)[1]:
-                if not boiler and len(text) <= CONSTANT_CHARS:
-                    seen[(host, path, xxhash.xxh64_intdigest(text) >> 1, page)] += 1
-        rows = list(zip(*seen)) or [[], [], [], []]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(r), k) for r, k in zip(rows, kinds)], ["host", "path", "text", "page"])
+            blocks = [(path, text) for path, boiler, _, text in blocks_of(source)[1] if not boiler]
+            main = xxhash.xxh64_intdigest(max((t for _, t in blocks), key=lambda t: (len(t), t), default="")) >> 1
+            for path, text in blocks:
+                if len(text) <= CONSTANT_CHARS:
+                    seen[(host, layout, path, xxhash.xxh64_intdigest(text) >> 1, page, main)] = None
+        rows = list(zip(*seen)) or [[]] * 6
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(r), k) for r, k in zip(rows, kinds)], ["host", "layout", "path", "text", "page", "main"])
 
 
 def _induce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for pages in batch.column(1).to_pylist():
+        for pages in batch.column(2).to_pylist():
             try:
                 out.append(json.dumps(induce([p["html"] for p in pages])))
             except RecursionError:
                 out.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["host", "layout", "wrapper"])
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     read: dict = {}
     for batch in batches:
         texts = []
-        for host, source, wrapper, constants in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "constants"))):
-            if host not in read:  # two hosts may have one wrapper, but each has constants of its own
+        for host, layout, source, wrapper, *constants in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "wrapper", "constants", "own_constants"))):
+            key = (host, layout)  # two hosts may have one wrapper, but each has constants of its own
+            if key not in read:
                 if len(read) > 256:
                     read.clear()
-                read[host] = (json.loads(wrapper) if wrapper else None, {(c["path"], c["text"]) for c in constants or ()})
-            texts.append(extract(source, *read[host]))
+                read[key] = (json.loads(wrapper) if wrapper else None, {(c["path"], c["text"]) for some in constants for c in some or ()})
+            texts.append(extract(source, *read[key]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["id", "url", "text", "n_chars"],
         )
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", exemplars: int = EXEMPLARS) -> DataFrame:
-    """One row per input row: id, url, text, n_chars."""
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", _host())
-
-    counted = cut(p.select("host", "html").mapInArrow(_short_block_batches, "host string, path string, text long, page long"))
-    n_pages = p.select("host", F.xxhash64("html").alias("h")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    constants = (
-        counted.distinct()
-        .groupBy("host", "path", "text")
-        .agg(F.count(F.lit(1)).alias("on"))
+def _constants(p: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Constant blocks of each host, and of each layout of a host; pages has each different page once."""
+    counted = cut(p.select("host", "layout", "html").mapInArrow(_short_block_batches, "host string, layout long, path string, text long, page long, main long"))
+    listed = F.sort_array(F.collect_set(F.struct("path", "text")))
+    mains = F.count_distinct("main")
+    of_host = (
+        counted.groupBy("host", "path", "text")
+        .agg(F.count_distinct("page").alias("on"), mains.alias("mains"))
         .filter(F.col("on") >= CONSTANT_PAGES)
-        .join(n_pages, "host")
-        .filter(F.col("on") >= CONSTANT_SHARE * F.col("n"))
+        .join(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host")
+        .join(counted.groupBy("host", "path").agg(mains.alias("with_path")), ["host", "path"])
+        .filter((F.col("on") >= CONSTANT_SHARE * F.col("n")) | ((F.col("mains") >= CONSTANT_PAGES) & (F.col("mains") >= CONSTANT_SHARE * F.col("with_path"))))
         .groupBy("host")
-        .agg(F.sort_array(F.collect_set(F.struct("path", "text"))).alias("constants"))
+        .agg(listed.alias("constants"))
     )
-    # The limit works inside each task before the shuffle, so a hot host sends a few rows from each.
-    first = Window.partitionBy("host").orderBy(F.xxhash64("id"), "id")
-    wrappers = (
-        p.withColumn("k", F.row_number().over(first))
-        .filter(F.col("k") <= exemplars)
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "html"))).alias("pages"))
-        .mapInArrow(_induce_batches, "host string, wrapper string")
+    of_layout = (
+        counted.groupBy("host", "layout", "path", "text")
+        .agg(mains.alias("mains"))
+        .filter(F.col("mains") >= CONSTANT_PAGES)
+        .join(counted.groupBy("host", "layout").agg(mains.alias("n")), ["host", "layout"])
+        .filter(F.col("mains") >= CONSTANT_SHARE * F.col("n"))
+        .groupBy("host", "layout")
+        .agg(listed.alias("own_constants"))
+    )
+    return of_host, of_layout
+
+
+def _wrappers(p: DataFrame, pages: DataFrame, exemplars: int) -> DataFrame:
+    """host, layout, wrapper; the host's own has no layout. The pages are chosen by their hashes, then read."""
+    by_hash = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("page"))
+    of_host = pages.withColumn("k", by_hash("host")).filter(F.col("k") <= exemplars).withColumn("of", F.lit(None).cast("long"))
+    sizes = pages.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT_PAGES).drop("n")
+    first = pages.withColumn("k", by_hash("host", "layout")).filter(F.col("k") <= exemplars)
+    of_layout = first.join(sizes, ["host", "layout"], "left_semi").withColumn("of", F.col("layout"))
+    chosen = of_host.unionByName(of_layout)
+    return (
+        p.select("host", "layout", "page", "html")
+        .join(chosen, ["host", "layout", "page"])
+        .groupBy("host", "of", "page")
+        .agg(F.min("html").alias("html"))
+        .groupBy("host", "of")
+        .agg(F.sort_array(F.collect_list(F.struct("page", "html"))).alias("pages"))
+        .mapInArrow(_induce_batches, "host string, layout long, wrapper string")
     )
-    hosts = cut(wrappers.join(constants, "host", "left"))
-    out = p.join(hosts, "host", "left").mapInArrow(_extract_batches, "id long, url string, text string, n_chars long")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", exemplars: int = EXEMPLARS) -> DataFrame:
+    """One row per input row: id, url, text, n_chars."""
+    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    p = p.withColumn("host", _host()).withColumn("layout", F.coalesce(_layout(), F.lit(0))).withColumn("page", F.xxhash64("html"))
+
+    different = cut(p.select("host", "layout", "page").distinct())
+    constants, own_constants = _constants(p, different)
+    wrappers = cut(_wrappers(p, different, exemplars))
+    hosts = cut(wrappers.filter("layout is null").drop("layout").withColumnRenamed("wrapper", "host_wrapper").join(constants, "host", "left"))
+    layouts = cut(wrappers.filter("layout is not null").join(own_constants, ["host", "layout"], "left"))
+    met = p.join(hosts, "host", "left").join(layouts, ["host", "layout"], "left")
+    met = met.select("id", "url", "html", "host", "layout", F.coalesce("wrapper", "host_wrapper").alias("wrapper"), "constants", "own_constants")
+    out = met.mapInArrow(_extract_batches, "id long, url string, text string, n_chars long")
     return out.toDF(id_col, url_col, "text", "n_chars")

@@ -188,6 +188,22 @@ def test_hosts_of_one_layout_keep_their_own_constants(spark):
     assert got == {i * 10 + n: f"Story {n} of {host}." for i, host in enumerate(["a.example", "b.example"]) for n in range(9)}
 
 
+def test_constants_of_every_template_of_a_host_go(spark):
+    shapes = ["<div>{m}</div><div>{b}</div>", "<div>{m}</div><table><tr><td>{b}</td></tr></table>", "<section>{m}</section><div>{b}</div>", "<center>{m}</center><section>{b}</section>"]
+    body = lambda n: f"<p>Story {n} begins {n * 37} here and goes on for a while.</p><p>It ends at {n * 91}.</p>"
+    rows = [(n, f"http://many.example/{n}", "<body>" + shapes[n % 4].format(m=f"<p>Menu of template {n % 4}</p>", b=body(n)) + "</body>") for n in range(80)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Story {n} begins {n * 37} here and goes on for a while.\nIt ends at {n * 91}." for n in range(80)}
+
+
+def test_a_page_with_many_copies_keeps_its_own_lines(spark):
+    page = "<body><article><p>Story {n} of the host, told at length.</p>{more}</article></body>"
+    copy = page.format(n=0, more="<blockquote>Only here</blockquote>")
+    rows = [(n, f"http://copied.example/{n}", copy if n < 40 else page.format(n=n, more="")) for n in range(50)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Story {n if n >= 40 else 0} of the host, told at length." + ("\nOnly here" if n < 40 else "") for n in range(50)}
+
+
 def test_copies_of_a_page_are_not_template(spark):
     rows = [(n, "http://copies/x", "<article><p>Only story here</p></article>") for n in range(6)]
     got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
