@@ -1,11 +1,17 @@
 """License notices by conditional compression.
 
-A block - a line, or a sentence of a long one - that has a cue word is compressed on its own and
-with each wording as zstandard's raw dictionary. A wording that the block repeats leaves little to
-write, so wordings are ranked by the share of bytes they save. The best ones are confirmed by
-their exact differences in words: what the block adds to, lacks of and keeps of the wording. Years,
-versions and variant letters tell licenses apart, so between confirmed wordings the one with the
-fewest differing words wins, then the larger saving.
+Adjacent lines with words are one paragraph, so a wrapped notice is whole. Over each paragraph with a
+cue word slide windows as long as each wording; where a window has enough of its words, the span
+that aligns best is confirmed by its exact differences in words: what it adds to, lacks of and keeps
+of the wording. A short wording's own words, which no other license has, must be there. Spans that
+overlap are one notice: the one that agrees in most words less those that differ wins, then the
+one that saves the larger share of bytes when it is compressed with the wording as zstandard's raw
+dictionary.
+
+A line, or a sentence of a long one, that has a cue word and is in no such span is compressed on its
+own and with each wording. Wordings are ranked by the share of bytes they save, and the best ones
+are confirmed for the whole block. Years, versions and variant letters tell licenses apart, so the
+one with the fewest differing words wins, then the larger saving.
 
 Each text is read whole in one pass without a shuffle. Defined cases: null and empty texts have no
 blocks; equal ranks go to the smaller name; repeated rows each get a row; an empty table gives
@@ -15,7 +21,9 @@ none; other columns are ignored.
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +40,8 @@ CUES = re.compile(r"licen[cs]e|copyright|\brights\s+reserved|permission|permitte
 #: other way round that confirm it.
 RANKED = 5
 SHARE = 0.8
+#: In wordings of up to so many words, those that only one license has must be there.
+SHORT_WORDS = 12
 #: Longer lines are cut in sentences.
 LINE_CHARS = 600
 _SENTENCE = re.compile(r"(?<=[.;:!?])\s+")
@@ -64,6 +74,35 @@ class Matcher:
             for text in texts:
                 d = zstandard.ZstdCompressionDict(plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.items.append((name, words(text), zstandard.ZstdCompressor(level=level, dict_data=d)))
+        users: dict[str, set[str]] = {}
+        for name, wording, _ in self.items:
+            for w in wording:
+                users.setdefault(w, set()).add(name)
+        self.known = frozenset(users)
+        self.own = [{w for w in wording if len(users[w]) == 1} if len(wording) <= SHORT_WORDS else set() for _, wording, _ in self.items]
+
+    def spans(self, text: str) -> list[tuple[int, int, Match]]:
+        """Notices in a paragraph, with where they begin and end."""
+        at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        own = [text[a:b].casefold() for a, b in at]
+        total = Counter(w for w in own if w in self.known)
+        found = []
+        for i, (name, wording, compressor) in enumerate(self.items):
+            need = Counter(wording)
+            if sum(min(n, total[w]) for w, n in need.items()) < SHARE * len(wording) or any(w not in total for w in self.own[i]):
+                continue
+            for a, b, same, missing, added in _aligned(own, wording, need):
+                if self.own[i].isdisjoint(missing):
+                    block = text[at[a][0] : at[b - 1][1]]
+                    raw = plain(block)
+                    alone = len(self.plain.compress(raw))
+                    saved = (alone - len(compressor.compress(raw))) / alone
+                    found.append((len(missing) + len(added) - same, -saved, name, a, b, Match(block, name, saved, missing, added)))
+        out: list[tuple[int, int, Match]] = []
+        for *_, a, b, m in sorted(found, key=lambda f: f[:5]):
+            if all(b <= x or a >= y for x, y, _ in out):
+                out.append((a, b, m))
+        return [(at[a][0], at[b - 1][1], m) for a, b, m in sorted(out, key=lambda f: f[:2])]
 
     def match(self, block: str) -> Match | None:
         raw = plain(block)
@@ -84,6 +123,87 @@ class Matcher:
         return Match(block, best[2], -best[1], best[3], best[4]) if best else None
 
 
+def _aligned(own: list[str], wording: list[str], need: Counter) -> Iterator[tuple[int, int, int, tuple[str, ...], tuple[str, ...]]]:
+    """Spans of words that agree with a wording: begin, end, equal words, missing and added ones."""
+    m, long = len(wording), math.ceil(len(wording) / SHARE)
+    least = SHARE * m
+    # overlap[i]: words of the window from i that the wording has too, each as often as there
+    have: Counter = Counter()
+    n, overlap = 0, []
+    for j in range(len(own) + long - 1):
+        if j < len(own) and own[j] in need:
+            have[own[j]] += 1
+            n += have[own[j]] <= need[own[j]]
+        if j >= long and own[j - long] in need:
+            n -= have[own[j - long]] <= need[own[j - long]]
+            have[own[j - long]] -= 1
+        if j >= long - 1:
+            overlap.append(n)
+    at = 0
+    while at < len(overlap):
+        if overlap[at] < least:
+            at += 1
+            continue
+        a = max(range(at, min(at + long, len(overlap))), key=lambda i: (overlap[i], -i))
+        window = own[a : a + long]
+        blocks = difflib.SequenceMatcher(None, window, wording, autojunk=False).get_matching_blocks()[:-1]
+        best: tuple | None = None
+        for x in range(len(blocks)):
+            same = 0
+            for y in range(x, len(blocks)):
+                same += blocks[y].size
+                size = blocks[y].a + blocks[y].size - blocks[x].a
+                if same >= least and same >= SHARE * size:
+                    got = (size + m - 2 * same, x, y)
+                    best = got if best is None or got < best else best
+        if best is None:
+            at = a + 1
+            continue
+        kept = blocks[best[1] : best[2] + 1]
+        begin, end = kept[0].a, kept[-1].a + kept[-1].size
+        in_span = {i for k in kept for i in range(k.a, k.a + k.size)}
+        in_wording = {i for k in kept for i in range(k.b, k.b + k.size)}
+        yield a + begin, a + end, len(in_span), tuple(wording[i] for i in range(m) if i not in in_wording), tuple(window[i] for i in range(begin, end) if i not in in_span)
+        at = a + end
+
+
+def paragraphs(text: str) -> list[str]:
+    """Lines joined with those next to them; a line without a word parts them."""
+    out: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if _WORD.search(line):
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return ["\n".join(p) for p in out if p]
+
+
+def notices(text: str | None, matcher: Matcher, seen: dict[str, Match | None]) -> tuple[int, list[Match]]:
+    """How many candidate blocks a text has, and the notices found. seen: blocks matched before."""
+    blocks = candidate_blocks(text)
+    found = []
+    for paragraph in paragraphs(text) if blocks or (text and CUES.search(text)) else ():
+        if not CUES.search(paragraph):
+            continue
+        spans = matcher.spans(paragraph)
+        found += [m for _, _, m in spans]
+        begin = 0
+        for line in paragraph.split("\n"):
+            at = begin
+            begin += len(line) + 1
+            for b in candidate_blocks(line):
+                at = paragraph.index(b, at)
+                if all(at + len(b) <= x or at >= y for x, y, _ in spans):
+                    if b not in seen:
+                        if len(seen) > 50_000:
+                            seen.clear()
+                        seen[b] = matcher.match(b)
+                    if seen[b]:
+                        found.append(seen[b])
+                at += len(b)
+    return len(blocks), found
+
+
 def candidate_blocks(text: str | None) -> list[str]:
     if not text or not CUES.search(text):
         return []
@@ -106,17 +226,9 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = []
         for text in batch.column(1).to_pylist():
-            blocks = candidate_blocks(text)
-            found = []
-            for b in blocks:
-                if b not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[b] = _matcher.match(b)
-                if seen[b]:
-                    found.append(seen[b])
+            n_blocks, found = notices(text, _matcher, seen)
             names = sorted({m.license for m in found})
-            out.append((len(blocks), len(found), ",".join(names) or None, max((m.saved for m in found), default=None), sum(len(m.missing) + len(m.added) for m in found)))
+            out.append((n_blocks, len(found), ",".join(names) or None, max((m.saved for m in found), default=None), sum(len(m.missing) + len(m.added) for m in found)))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64())
         cols = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], ["id", "n_candidates", "n_confirmed", "licenses", "best_saved", "n_differing_words"])

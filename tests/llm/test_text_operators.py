@@ -232,6 +232,45 @@ def test_license_lines(line, name):
     assert (m and m.license) == name
 
 
+def found(text):
+    return sorted(m.license for m in licenses.notices(text, licenses.Matcher(), {})[1])
+
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:"""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+AGPL_HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU Affero General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        (MIT_GRANT, ["MIT"]),
+        (" ".join(MIT_GRANT.split()), ["MIT"]),
+        ("Some words before.\n" + MIT_GRANT + "\nand some after it.", ["MIT"]),
+        (APACHE_HEADER, ["Apache-2.0"]),
+        (AGPL_HEADER, ["AGPL-3.0"]),
+        (AGPL_HEADER.replace("Affero ", ""), ["GPL-3.0"]),
+        ("Redistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following\nconditions are met:", ["BSD-3-Clause"]),
+        ("We wrote it in May and it is released under the MIT License. It has been in use since then.", ["MIT"]),
+        ("The code is licensed under the MIT License. The pictures are licensed under CC BY-SA 4.0. So it goes.", ["CC-BY-SA-4.0", "MIT"]),
+        ("word " * 200 + " ".join(MIT_GRANT.split()) + " word" * 200, ["MIT"]),
+        ("The bar was licensed under the new license of the town, and nothing else came of it.", []),
+    ],
+)
+def test_notices_wherever_they_stand(text, names):
+    assert found(text) == names
+
+
 def test_differing_words_are_named():
     m = licenses.Matcher().match("This work was licensed under the GNU General Public License, version 3.")
     assert m.license == "GPL-3.0" and m.missing == ("is",) and m.added == ("was",)
