@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each row, checked by decoding."""
+    """Sampled segmentations of each row with their token ids, checked by decoding."""
     return segmentation.sample_segmentations(docs)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from marlstone.llm import toxicity
+from marlstone.llm.queries import op3_sentencepiece_topk
 
 from .test_dedup import brute_exact, brute_near
 
@@ -50,6 +51,13 @@ def test_run_gives_the_stages_result(spark, small_dir):
     assert out.count() > 0 and out.filter("not round_trip").isEmpty()
 
 
+def test_the_token_ids_come_out(spark, small_dir):
+    docs = documents(spark, small_dir).limit(20)
+    got = cp.encode(spark, docs, small_dir).collect()
+    assert len(got) > 20 and all(len(r["ids"]) == r["n_pieces"] for r in got)
+    assert "ids_sha256" in op3_sentencepiece_topk(spark, small_dir).columns
+
+
 def test_stages_on_odd_documents(spark, odd_docs, small_dir, no_docs):
     for name, stage in cp.STAGES[:-1]:
         got = stage(spark, odd_docs, small_dir)
