@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised text the one that op4 keeps stays, once."""
     sha, keep_doc, keep_sha = (free_name(docs.columns, n) for n in ("own_sha", "keep_doc", "keep_sha"))
-    kept = exact_dedup.keep_longest(docs).filter("kept").groupBy(F.col("doc_id").alias(keep_doc), F.col("text_sha256").alias(keep_sha))
+    kept = exact_dedup.keep_longest(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias(keep_doc), F.col("text_sha256").alias(keep_sha))
     kept = cut(kept.agg(F.count(F.lit(1)).alias("n")))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn(sha, F.sha2(F.regexp_replace(text, SPACE_CLASS, ""), 256))
@@ -33,16 +33,25 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if kept.filter("n > 1").isEmpty():
         return found.drop(sha)
     # rows with one id and equal texts: the longest stays, once
-    row = F.max_by(F.struct(*docs.columns), F.length(text)).alias("row")
+    row = F.max_by(F.struct(*docs.columns), F.struct(F.length(text), F.xxhash64(text))).alias("row")
     return found.groupBy("doc_id", sha).agg(row).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
-    keep_doc = free_name(docs.columns, "keep_doc")
-    kept = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep_doc)).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[keep_doc]), "left_semi")
+    """Of each SimHash component the document with the smallest id stays, once; null is the last id."""
+    key, keep_key = (free_name(docs.columns, n) for n in ("row_key", "keep_key"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # a row's own name: ids may be null or shared
+    groups = simhash.near_duplicates(keyed.select(key, "text"), id_col=key).groupBy(key, "component_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = keyed.select(key, "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key, "n")).alias("best")
+    kept = groups.join(ids, key).groupBy("component_id").agg(best)
+    kept = cut(kept.select(F.col(f"best.{key}").alias(keep_key), "best.n"))
+    found = keyed.join(kept, keyed[key] == kept[keep_key], "left_semi")
+    if kept.filter("n > 1").isEmpty():
+        return found.drop(key)
+    # rows with one id and one text: one stays
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return found.groupBy(key).agg(row).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,22 @@ def test_the_token_ids_come_out(spark, small_dir):
     assert "ids_sha256" in op3_sentencepiece_topk(spark, small_dir).columns
 
 
+def few(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_one_row_of_a_component_stays_whatever_its_ids(spark, small_dir):
+    a, b, c = (" ".join(f"{x}{n * n}" for n in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (5, b), (None, b), (7, b), (3, c), (5, c)]
+    got = cp.drop_near_copies(spark, few(spark, rows), small_dir).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("5", b), ("3", c)])
+
+
+def test_rows_of_one_id_that_differ_in_white_space_stay_once(spark, small_dir):
+    got = cp.drop_exact_copies(spark, few(spark, [(1, "x y  z"), (1, "x y z"), (2, "x y z")]), small_dir).collect()
+    assert [(r["doc_id"], r["text"]) for r in got] == [(1, "x y  z")]
+
+
 def test_stages_on_odd_documents(spark, odd_docs, small_dir, no_docs):
     for name, stage in cp.STAGES[:-1]:
         got = stage(spark, odd_docs, small_dir)
