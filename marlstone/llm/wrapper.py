@@ -73,41 +73,42 @@ def _is_boiler(tag: str, attrs: dict[str, str]) -> bool:
     return any(w in BOILER_WORDS for w in words) or "hidden" in attrs or attrs.get("aria-hidden") == "true"
 
 
-def _blocks(node: Node, path: str, boiler: bool, out: list[tuple[str, bool, Node, str]]) -> None:
-    """(path, inside boilerplate, block element, text) in page order."""
+def _blocks(root: Node) -> list[tuple[str, bool, Node, str]]:
+    """(path, inside boilerplate, block element, text) in page order; a path is a hash of the names down to it."""
+    out: list = []
     pending: list[str] = []
 
-    def flush() -> None:
+    def flush(path: str, boiler: bool, node: Node) -> None:
         text = " ".join("".join(pending).split())
         pending.clear()
         if text:
             out.append((path, boiler, node, text))
 
-    def inline(n: Node) -> None:
-        for c in n.children:
+    stack = [(iter(root.children), "", False, root, True)]
+    while stack:
+        rest, path, boiler, node, is_block = stack[-1]
+        for c in rest:
             if isinstance(c, str):
                 pending.append(c)
             elif c.tag in BLOCK:
-                flush()
-                _blocks(c, f"{path}/{c.signature}", boiler or _is_boiler(c.tag, c.attrs), out)
+                flush(path, boiler, node)
+                stack.append((iter(c.children), xxhash.xxh64_hexdigest(f"{path}/{c.signature}"), boiler or _is_boiler(c.tag, c.attrs), c, True))
+                break
             elif not _is_boiler(c.tag, c.attrs):  # a script or an inline advert leaves its block whole
                 if c.tag == "br":
                     pending.append(" ")
-                inline(c)
-
-    inline(node)
-    flush()
+                stack.append((iter(c.children), path, boiler, node, False))
+                break
+        else:
+            stack.pop()
+            if is_block:
+                flush(path, boiler, node)
+    return out
 
 
 def blocks_of(source: str | None) -> tuple[Node, list[tuple[str, bool, Node, str]]]:
     root = parse(source)
-    out: list = []
-    try:
-        _blocks(root, "", False, out)
-    except RecursionError:  # nested thousands deep: all text as one block
-        text = " ".join(re.sub(r"<[^>]*>", " ", source or "").split())
-        out = [("", False, root, text)] if text else []
-    return root, out
+    return root, _blocks(root)
 
 
 class Tree:

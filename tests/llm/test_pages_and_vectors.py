@@ -204,6 +204,12 @@ def test_a_page_with_many_copies_keeps_its_own_lines(spark):
     assert got == {n: f"Story {n if n >= 40 else 0} of the host, told at length." + ("\nOnly here" if n < 40 else "") for n in range(50)}
 
 
+def test_depth_does_not_change_the_method():
+    inner = "<script>var x</script><nav>Menu</nav><p>a &amp; b</p><p>c</p>"
+    assert wrapper.extract("<div>" * 3000 + inner + "</div>" * 3000, None) == "a & b\nc"
+    assert wrapper.extract("<b>" * 3000 + inner, None) == "a & b\nc"
+
+
 def test_copies_of_a_page_are_not_template(spark):
     rows = [(n, "http://copies/x", "<article><p>Only story here</p></article>") for n in range(6)]
     got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
