@@ -8,7 +8,7 @@ mostly links is navigation; others are content, unless their element or class sa
 (nav, footer, advert, comments, ...). Every page is then aligned with its layout's wrapper, or else
 its host's, and the blocks in its content slots are its text, without the constant ones.
 
-Constants are counted over all pages. A short block is template if CONSTANT_SHARE of a host's
+Constants are counted over all pages. A block of any length is template if CONSTANT_SHARE of a host's
 different pages repeat it at one place, or of those in one layout, or of those that have the place
 at all. In the last two counts pages with one longest block are one, so that an article's
 own lines are not template because the article was copied with another date.
@@ -37,9 +37,8 @@ from .html_dom import BLOCK, Node, parse
 
 #: Different pages of a host or layout that its wrapper is induced from at most.
 EXEMPLARS = 8
-#: A block up to so long, on so many and such a share of different pages, is template; a layout with
+#: A block on so many and such a share of different pages, is template; a layout with
 #: so many different pages has a wrapper of its own.
-CONSTANT_CHARS = 300
 CONSTANT_PAGES = 3
 CONSTANT_SHARE = 0.6
 LINK_SHARE = 0.6
@@ -263,7 +262,7 @@ def extract(source: str | None, wrapper: list | None, constants: set[tuple[str,
         good = [
             text
             for path, boiler, node, text in blocks
-            if not boiler and id(node) in inside and not (len(text) <= CONSTANT_CHARS and (path, xxhash.xxh64_intdigest(text) >> 1) in constants)
+            if not boiler and id(node) in inside and (path, xxhash.xxh64_intdigest(text) >> 1) not in constants
         ]
         if good:
             break
@@ -282,8 +281,8 @@ def _layout():
     return F.xxhash64(F.transform(tags, lambda t: F.concat_ws(".", name(t), marks(t))))
 
 
-def _short_block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different short blocks of each page; page and main name the page by its html and by its longest block."""
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different blocks of each page; page and main name the page by its html and by its longest block."""
     for batch in batches:
         seen: dict = {}
         for host, layout, source in zip(*(c.to_pylist() for c in batch.columns)):
@@ -291,8 +290,7 @@ def _short_block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             blocks = [(path, text) for path, boiler, _, text in blocks_of(source)[1] if not boiler]
             main = xxhash.xxh64_intdigest(max((t for _, t in blocks), key=lambda t: (len(t), t), default="")) >> 1
             for path, text in blocks:
-                if len(text) <= CONSTANT_CHARS:
-                    seen[(host, layout, path, xxhash.xxh64_intdigest(text) >> 1, page, main)] = None
+                seen[(host, layout, path, xxhash.xxh64_intdigest(text) >> 1, page, main)] = None
         rows = list(zip(*seen)) or [[]] * 6
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(r), k) for r, k in zip(rows, kinds)], ["host", "layout", "path", "text", "page", "main"])
@@ -328,7 +326,7 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _constants(p: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Constant blocks of each host, and of each layout of a host; pages has each different page once."""
-    counted = cut(p.select("host", "layout", "html").mapInArrow(_short_block_batches, "host string, layout long, path string, text long, page long, main long"))
+    counted = cut(p.select("host", "layout", "html").mapInArrow(_block_batches, "host string, layout long, path string, text long, page long, main long"))
     listed = F.sort_array(F.collect_set(F.struct("path", "text")))
     mains = F.count_distinct("main")
     of_host = (

@@ -210,6 +210,13 @@ def test_depth_does_not_change_the_method():
     assert wrapper.extract("<b>" * 3000 + inner, None) == "a & b\nc"
 
 
+def test_long_constants_of_a_host_go(spark):
+    page = "<body><div><p>Story {n} is short.</p><div>" + "These terms hold for all. " * 40 + "</div></div></body>"
+    rows = [(n, f"http://terms.example/{n}", page.format(n=n)) for n in range(12)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {n: f"Story {n} is short." for n in range(12)}
+
+
 def test_copies_of_a_page_are_not_template(spark):
     rows = [(n, "http://copies/x", "<article><p>Only story here</p></article>") for n in range(6)]
     got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
