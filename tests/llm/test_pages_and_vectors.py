@@ -204,10 +204,18 @@ def test_a_page_with_many_copies_keeps_its_own_lines(spark):
     assert got == {n: f"Story {n if n >= 40 else 0} of the host, told at length." + ("\nOnly here" if n < 40 else "") for n in range(50)}
 
 
-def test_depth_does_not_change_the_method():
+def text_of(source):
+    return wrapper.extract(html_dom.read(source), None)
+
+
+def test_depth_does_not_change_the_method(spark):
     inner = "<script>var x</script><nav>Menu</nav><p>a &amp; b</p><p>c</p>"
-    assert wrapper.extract("<div>" * 3000 + inner + "</div>" * 3000, None) == "a & b\nc"
-    assert wrapper.extract("<b>" * 3000 + inner, None) == "a & b\nc"
+    assert text_of("<div>" * 3000 + inner + "</div>" * 3000) == "a & b\nc"
+    assert text_of("<b>" * 3000 + inner) == "a & b\nc"
+    # a host whose pages are all that deep has a wrapper like any other
+    rows = [(n, "http://deep.example/", "<div>" * 3000 + f"<div>Menu for all</div><div><p>Story {n} in the deep.</p></div>") for n in range(4)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {n: f"Story {n} in the deep." for n in range(4)}
 
 
 def test_long_constants_of_a_host_go(spark):
@@ -223,10 +231,105 @@ def test_copies_of_a_page_are_not_template(spark):
     assert {r["text"] for r in got} == {"Only story here"}
 
 
-def test_tree_matching_counts_the_largest_ordered_match():
-    a = wrapper.tree_of(html_dom.parse("<div><p>1</p><ul><li>x</li></ul><span>s</span></div>"))
-    b = wrapper.tree_of(html_dom.parse("<div><ul><li>y</li></ul><p>2</p><span>t</span></div>"))
-    assert wrapper.match(a, b)[0] == 5  # root, div, ul, li, span
+def tree(shape):
+    """A tree of (name, children)."""
+    t = wrapper.Tree(html_dom.Kind("div", shape[0]))
+    t.kids = [tree(k) for k in shape[1]]
+    t.seal()
+    return t
+
+
+def brute_match(a, b):
+    """Simple tree matching as it is defined, without any shortcut."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(x, y))
+    return 1 + best[-1][-1]
+
+
+def random_shape(rng, depth=0):
+    n = int(rng.integers(0, 5)) if depth < 4 else 0
+    return (str(rng.choice(["a", "b", "c"])) if depth else "root", [random_shape(rng, depth + 1) for _ in range(n)])
+
+
+def test_tree_matching_equals_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = random_shape(rng), random_shape(rng)
+        assert wrapper.match(tree(a), tree(b)) == brute_match(a, b)
+
+
+def test_matched_pairs_keep_order_and_add_up_to_the_matching():
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        a, b = tree(random_shape(rng)), tree(random_shape(rng))
+        memo = {}
+        size, pairs = wrapper.match(a, b, memo), wrapper._pairs(a, b, memo)[1]
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+        assert size == 1 + sum(wrapper.match(a.kids[i], b.kids[j]) for i, j in pairs)
+
+
+def test_alignments_in_parts_are_as_good_as_whole_ones():
+    rng = np.random.default_rng(7)
+    for n, m in ((40, 30), (7, 90), (1, 50), (64, 64)):
+        ix, iy, w = rng.integers(0, 6, n), rng.integers(0, 5, m), rng.integers(0, 4, (6, 5))
+        total = lambda pairs: sum(w[ix[i]][iy[j]] for i, j in pairs)  # noqa: B023, E731
+        plain = wrapper._small_align(ix.tolist(), iy.tolist(), w.tolist())
+        assert total(plain) == total(wrapper.align(ix, iy, w)) == total(wrapper.align(ix, iy, w, cells=20))
+
+
+def test_thousands_of_children_take_no_second():
+    import time
+
+    other = "".join(f"<h2>Part {n}</h2><p>Text {n}</p><div><p>x</p></div>" for n in range(2500))
+    page = "".join(f"<p>Text {n}</p><h2>Part {n}</h2>" for n in range(2500))
+    began = time.monotonic()
+    learned = wrapper.induce([html_dom.read(f"<body>{other}</body>")])
+    assert text_of(f"<body>{page}</body>").count("\n") == 4999
+    text = wrapper.extract(html_dom.read(f"<body>{page}</body>"), learned)
+    assert text.count("\n") == 4999 and time.monotonic() - began < 3
+
+
+def test_a_wrapper_reads_back_as_it_was():
+    learned = wrapper.induce([html_dom.read(PAGE.format(n=n)) for n in range(4)])
+    again = wrapper.from_json(wrapper.to_json(learned))
+    assert again.structure == learned.structure and [t.role for t in wrapper._each(again)] == [t.role for t in wrapper._each(learned)]
+
+
+def bare_page(n):
+    links = "".join(f"<li><a href=x>Link {n} {k}</a></li>" for k in range(5))
+    body = "".join(f"<p>Sentence {k} of story {n} says what happened on that day.</p>" for k in range(3 + n % 4))
+    return (
+        f"<body><div><ul>{links}</ul></div><div>Buy thing {n * 7} now.</div><div><h1>Title {n}</h1>{body}<div>Read more of us every day.</div></div>"
+        f"<div><p>Great story, said reader {n}.</p></div><div>Bare host, page {n}</div></body>"
+    )
+
+
+def test_the_wrapper_finds_the_content_of_pages_without_names(spark):
+    rows = [(n, "http://bare.example/", bare_page(n)) for n in range(20)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {n: "\n".join([f"Title {n}", *(f"Sentence {k} of story {n} says what happened on that day." for k in range(3 + n % 4))]) for n in range(20)}
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_names_make_no_difference_on_a_templated_host(spark):
+    rows = [(n, "http://h.example/", PAGE.format(n=n) if n else None) for n in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bare = df.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"<(/?)(nav|article|footer|header|section)\b", "<$1div"), r"\s(class|id)=\"[^\"]*\"", ""))
+    bare = bare.withColumn("html", F.regexp_replace("html", "<p>Share this</p>|Share this", ""))
+    long = lambda d: d.withColumn("html", F.regexp_replace("html", "First   para", "First para " + "and so on " * 40))
+    assert sorted(map(tuple, wrapper.main_text(long(bare)).collect())) == sorted(map(tuple, wrapper.main_text(long(df)).collect()))
+
+
+def test_many_wrappers_are_joined_by_a_shuffle_with_the_same_result(spark, monkeypatch):
+    rows = [(100 * h + n, f"http://h{h}.example/", bare_page(n)) for h in range(3) for n in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, wrapper.main_text(df).collect()))
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, wrapper.main_text(df).collect())) == want
 
 
 @pytest.mark.parametrize(
@@ -238,13 +341,13 @@ def test_tree_matching_counts_the_largest_ordered_match():
     ],
 )
 def test_markup(source, want):
-    assert wrapper.extract(source, None) == want
+    assert text_of(source) == want
 
 
 def test_many_open_quotes_take_linear_time():
     import time
 
     began = time.monotonic()
-    wrapper.extract('<a href="' * 20_000, None)
-    wrapper.extract("<" * 50_000 + "<p>x", None)
+    text_of('<a href="' * 20_000)
+    text_of("<" * 50_000 + "<p>x")
     assert time.monotonic() - began < 5
