@@ -13,6 +13,7 @@ symbols inside a repeat equal in all places, and it is tracked exactly, not esti
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,9 +76,10 @@ class Symbols:
     low: np.ndarray  # the words it depends on
     high: np.ndarray
     text: np.ndarray  # which sequence it is in
+    level: np.ndarray  # the step that formed it, 0 for words
 
     def take(self, keep) -> Symbols:
-        return Symbols(*(x[keep] for x in (self.name, self.start, self.end, self.low, self.high, self.text)))
+        return Symbols(*(x[keep] for x in (self.name, self.start, self.end, self.low, self.high, self.text, self.level)))
 
 
 def _neighbours(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def _neighbours(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return joined, left, right
 
 
-def name_runs(s: Symbols) -> Symbols:
+def name_runs(s: Symbols, step: int) -> Symbols:
     if not len(s.name):
         return s
     joined, left, right = _neighbours(s)
@@ -102,14 +104,15 @@ def name_runs(s: Symbols) -> Symbols:
     last = np.append(first[1:], len(s.name)) - 1
     size = (last - first + 1).astype(np.uint64)
     name = np.where(size == 1, s.name[first], mix(s.name[first] ^ mix(size + U(0x51))))
-    return Symbols(name, s.start[first], s.end[last], np.minimum(s.low[first], left[first]), np.maximum(s.high[last], right[last]), s.text[first])
+    level = np.where(size == 1, s.level[first], step)
+    return Symbols(name, s.start[first], s.end[last], np.minimum(s.low[first], left[first]), np.maximum(s.high[last], right[last]), s.text[first], level)
 
 
-def name_pairs(s: Symbols, round_: int) -> Symbols:
+def name_pairs(s: Symbols, step: int) -> Symbols:
     if not len(s.name):
         return s
     joined, left, right = _neighbours(s)
-    is_left = (mix(s.name + U(round_ * 2 + 1)) & U(1)).astype(bool)
+    is_left = (mix(s.name + U(step * 2 + 1)) & U(1)).astype(bool)
     opens = np.zeros(len(s.name), dtype=bool)
     opens[:-1] = is_left[:-1] & ~is_left[1:] & joined[1:]
     closes = np.zeros(len(s.name), dtype=bool)
@@ -121,13 +124,14 @@ def name_pairs(s: Symbols, round_: int) -> Symbols:
     high = np.where(opens, np.maximum(s.high, s.high[nxt]), np.where(is_left, np.maximum(s.high, right), s.high))
     low = np.where(opens, np.minimum(s.low, s.low[nxt]), low)
     end = np.where(opens, s.end[nxt], s.end)
-    return Symbols(name, s.start, end, low, high, s.text).take(~closes)
+    return Symbols(name, s.start, end, low, high, s.text, np.where(opens, step, s.level)).take(~closes)
 
 
-def recompress(hashes: np.ndarray, text: np.ndarray, rounds: int) -> Symbols:
-    """Symbols of concatenated sequences after so many rounds; text tells the sequences apart."""
+def recompress(hashes: np.ndarray, text: np.ndarray, rounds: int) -> Iterator[Symbols]:
+    """The symbols that each step of each round forms of concatenated sequences, runs and then pairs,
+    with the contexts that they depend on then; text tells the sequences apart."""
     at = np.arange(len(hashes), dtype=np.int64)
-    s = Symbols(mix(hashes), at, at + 1, at, at + 1, text)
-    for r in range(rounds):
-        s = name_pairs(name_runs(s), r)
-    return s
+    s = Symbols(mix(hashes), at, at + 1, at, at + 1, text, np.zeros(len(hashes), dtype=np.int64))
+    for step in range(1, 2 * rounds + 1):
+        s = (name_runs if step % 2 else name_pairs)(s, step)
+        yield s.take(s.level == step)

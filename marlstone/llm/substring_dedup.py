@@ -3,18 +3,18 @@
 A window is WINDOW consecutive words. A word goes when a window over it also starts in a document
 with a smaller id. To find such windows without shuffling every one of them:
 
-1. Recompression (recompression.py) cuts each text into symbols that recur wherever their context
-   recurs. A block is the words around a symbol's start, from LEFT before to RIGHT after, and holds
-   the symbol's context; its name is a symbol of a higher level. Each window takes the block inside
-   it with the least name. Equal windows take equal blocks, at the same place in them. Consecutive
-   windows mostly take the same block, so a text has a row for each 15 words or so. A window without
-   a block (very rare: long runs and periods) is a block of its own.
-2. Blocks in at least two documents are found by a partial aggregation over names; all other rows
-   end there.
-3. Of the rows left, those with the same block and the same words on both sides as far as a window
-   can reach form a class. All windows of a member recur in the class's smallest document, so for
-   all others they go at once. However often a passage is copied, one member of a class goes on.
-4. Only where a block has several classes - at the ends of a repeat - the windows of one member of
+1. Rounds of recompression (recompression.py) name runs and pairs of symbols, from words up. Equal
+   content has equal names on all machines, and a symbol recurs wherever the words that it depends
+   on recur. Each window takes the symbol of the highest level, then of the least name, among those
+   whose context lies in it. So equal windows take equal symbols, at the same place in them, and
+   neighbouring windows mostly the same one: a text has a row for each 19 words or so. A window that
+   no round has named a symbol in (long runs) stands for itself.
+2. A round over all documents finds the symbols that at least two of them have, by a partial
+   aggregation over names; all other rows end there.
+3. A second one names each shared symbol with the words on both sides as far as its windows reach: a
+   class. All windows of a member recur in the class's smallest document, so for all others they go
+   at once. However often a passage is copied, one member of a class goes on.
+4. Only where a symbol has several classes - at the ends of a repeat - the windows of one member of
    each are named singly (128 bits), and the smallest document of each window is found.
 
 Names are 128 bits wide wherever equal names count as equal words.
@@ -36,30 +36,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, join_apart, utf8, values, words_of
-from .recompression import Spans, U, recompress, word_hashes
+from .recompression import Spans, U, mix, recompress, word_hashes
 
 WINDOW = 50
-ROUNDS = 3
-LEFT, RIGHT = 8, 12
+#: Rounds of recompression: four make symbols of about five words, known from about twenty.
+ROUNDS = 4
 #: Words that are worked on at once; a longer text is worked on alone.
 CHUNK_WORDS = 200_000
 _LOW32 = U(0xFFFFFFFF)
-_NO_BLOCK = U(0xFFFFFFFFFFFFFFFF)
+_NO_SYMBOL = U(0xFFFFFFFFFFFFFFFF)
 
 
-def _least_of_next(x: np.ndarray, n: int) -> np.ndarray:
-    """At each place the least of the n values from there on."""
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        y = x.copy()
-        y[: len(x) - step] = np.minimum(x[: len(x) - step], x[step:])
-        x, have = y, have + step
-    return x
+class _Least:
+    """At each place the least of the values put over it. An interval is two that overlap, of a power
+    of two places each, and those are handed down to their halves at the end."""
 
+    def __init__(self, n: int, longest: int):
+        self.of = [np.full(n, _NO_SYMBOL, dtype=np.uint64) for _ in range(longest.bit_length())]
 
-def blocks(texts: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Rows of word lists: (which text, block name, name of block and surroundings, first window's
+    def put(self, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> None:
+        power = np.log2(last - first + 1).astype(np.int64)
+        for k, least in enumerate(self.of):
+            m = power == k
+            np.minimum.at(least, first[m], value[m])
+            np.minimum.at(least, last[m] + 1 - (1 << k), value[m])
+
+    def all(self) -> np.ndarray:
+        for k in range(len(self.of) - 1, 0, -1):
+            half, above, below = 1 << (k - 1), self.of[k], self.of[k - 1]
+            np.minimum(below, above, out=below)
+            below[half:] = np.minimum(below[half:], above[: len(above) - half])
+        return self.of[0]
+
+
+def shared_symbols(texts: list[list[bytes]], window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """Rows of word lists: (which text, symbol's name, name of symbol and surroundings, first window's
     start, last window's start), windows counted from the text's first word."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -67,34 +78,40 @@ def blocks(texts: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarray,
     text = np.repeat(np.arange(len(texts)), sizes)
     hashes = word_hashes([w for t in texts for w in t])
     spans = Spans(hashes)
-    s = recompress(hashes, text, ROUNDS)
-    q = s.start
-    holds = (s.low >= q - LEFT) & (s.high <= q + RIGHT) & (q - LEFT >= begins[s.text]) & (q + RIGHT <= ends[s.text])
-    q = q[holds]
-    name = spans.name(q - LEFT, q + RIGHT, 0)
-    order = np.full(len(hashes), _NO_BLOCK, dtype=np.uint64)
-    order[q] = (name & ~_LOW32) | q.astype(np.uint64)
-    names = np.zeros(len(hashes), dtype=np.uint64)
-    names[q] = name
+    least = _Least(len(hashes), window)
+    place = np.zeros((2 * rounds + 1, len(hashes)), dtype=np.int64)  # of the symbol of a level that starts at a word
+    names, lows, highs = ([np.zeros(1, t)] for t in (np.uint64, np.int64, np.int64))
+    n_symbols = 1
+    for level, s in enumerate(recompress(hashes, text, rounds), 1):
+        first = np.maximum(s.high - window, begins[s.text])
+        last = np.minimum(s.low, ends[s.text] - window)
+        fits = (s.high - s.low <= window) & (first <= last)
+        s, first, last = s.take(fits), first[fits], last[fits]
+        # the highest level first, then the least name, then the first place
+        least.put(first, last, (U(2 * rounds - level) << U(56)) | ((s.name >> U(40)) << U(32)) | s.start.astype(np.uint64))
+        place[level, s.start] = n_symbols + np.arange(len(s.name))
+        n_symbols += len(s.name)
+        for to, x in ((names, mix(s.name ^ mix(spans.name(s.low, s.high, 0)))), (lows, s.low), (highs, s.high)):
+            to.append(x)
+    names, lows, highs = map(np.concatenate, (names, lows, highs))
     p = np.arange(len(hashes), dtype=np.int64)
     p = p[p + window <= ends[text]]
-    best = _least_of_next(order, window - LEFT - RIGHT + 1)[p + LEFT]
-    own = best == _NO_BLOCK
-    at = (best & _LOW32).astype(np.int64)
-    at[own] = p[own]
-    key = np.where(own, U(0), names[at])
+    best = least.all()[p]
+    own = best == _NO_SYMBOL
+    at = np.zeros(len(p), dtype=np.int64)  # the symbol of each window
+    at[~own] = place[2 * rounds - (best[~own] >> U(56)).astype(np.int64), (best[~own] & _LOW32).astype(np.int64)]
+    key = names[at]
     key[own] = ~spans.name(p[own], p[own] + window, 0)
     head = np.ones(len(p), dtype=bool)
-    head[1:] = (p[1:] != p[:-1] + 1) | (text[p[1:]] != text[p[:-1]]) | (key[1:] != key[:-1])
-    head[1:] |= (at[1:] != at[:-1]) & ~(own[1:] & own[:-1])
+    head[1:] = (p[1:] != p[:-1] + 1) | (text[p[1:]] != text[p[:-1]]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1])
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(p)) - 1
-    own, at, key = own[first], at[first], key[first]
-    which = text[p[first]]
-    low = np.where(own, at, np.maximum(begins[which], at + RIGHT - window))
-    high = np.where(own, at + window, np.minimum(ends[which], at - LEFT + window))
-    around = spans.name(low, high, 1) ^ (spans.name(low, at, 0) * U(3))
-    return which, key, around, p[first] - begins[which], p[last] - begins[which]
+    own, at, key, p1, p2 = own[first], at[first], key[first], p[first], p[last]
+    which = text[p1]
+    low = np.where(own, p1, np.maximum(begins[which], highs[at] - window))
+    high = np.where(own, p1 + window, np.minimum(ends[which], lows[at] + window))
+    around = spans.name(low, high, 1) ^ (spans.name(low, np.where(own, p1, lows[at]), 0) * U(3))
+    return which, key, around, p1 - begins[which], p2 - begins[which]
 
 
 def _chunks(rows: Iterator[tuple], words_at: int) -> Iterator[list[tuple]]:
@@ -114,18 +131,18 @@ def _column(batch: pa.RecordBatch, name: str) -> Iterator:
     return utf8(col) if pa.types.is_string(col.type) else values(col)
 
 
-def _block_batches(window: int):
+def _symbol_batches(window: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = map(words_of, utf8(batch.column("text")))
-            rows = (x for x in zip(batch.column("ra").to_numpy(), batch.column("rb").to_numpy(), batch.column("id").to_numpy(), texts) if len(x[3]) >= window)
-            for chunk in _chunks(rows, 3):
-                which, key, around, p1, p2 = blocks([x[3] for x in chunk], window)
-                ids = np.array([x[:3] for x in chunk], dtype=np.int64)[which]
+            rows = (x for x in zip(batch.column("id").to_numpy(), batch.column("row").to_numpy(), texts) if len(x[2]) >= window)
+            for chunk in _chunks(rows, 2):
+                which, key, around, p1, p2 = shared_symbols([x[2] for x in chunk], window)
+                ids = np.array([x[:2] for x in chunk], dtype=np.int64)[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(ids[:, i])) for i in range(3)]
+                    [pa.array(np.ascontiguousarray(ids[:, i])) for i in range(2)]
                     + [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(p1.astype(np.int32)), pa.array(p2.astype(np.int32))],
-                    ["ra", "rb", "id", "key", "around", "p1", "p2"],
+                    ["id", "row", "key", "around", "p1", "p2"],
                 )
         give_back()
 
@@ -137,15 +154,15 @@ def _window_batches(window: int):
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for ra, rb, id_, text, places in zip(*(_column(batch, c) for c in ("ra", "rb", "id", "text", "places"))):
+            for id_, row, text, places in zip(*(_column(batch, c) for c in ("id", "row", "text", "places"))):
                 spans = Spans(word_hashes(words_of(text)))
                 p = np.unique(np.concatenate([np.arange(x >> 32, (x & 0xFFFFFFFF) + 1) for x in places]))
                 n = len(p)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, ra)), pa.array(np.full(n, rb)), pa.array(np.full(n, id_))]
+                    [pa.array(np.full(n, id_)), pa.array(np.full(n, row))]
                     + [pa.array(spans.name(p, p + window, k).view(np.int64)) for k in (0, 1)]
                     + [pa.array(p.astype(np.int32))],
-                    ["ra", "rb", "id", "h1", "h2", "p"],
+                    ["id", "row", "h1", "h2", "p"],
                 )
 
     return batches
@@ -185,36 +202,23 @@ def _place(p1: str, p2: str):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_removed, and kept_sha256 (or kept_text, with_text)."""
-    if window < LEFT + RIGHT:
-        raise ValueError(f"a window has at least {LEFT + RIGHT} words")
-    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    # Two hashes of id and text name a row: an id may come twice, with other texts.
-    t = docs.select(
-        F.xxhash64(id_, text).alias("ra"), F.xxhash64(text, F.lit(7), id_).alias("rb"), id_.alias("id"), text.alias("text")
-    )
-    rows = t.filter("id is not null").mapInArrow(
-        _block_batches(window), "ra long, rb long, id long, key long, around long, p1 int, p2 int"
-    )
-    shared = cut(
-        rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key")
-    )
+    if window < 1:
+        raise ValueError("a window has at least one word")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # An id may come twice, with other texts: its text's hash tells such rows apart.
+    t = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    rows = cut(t.filter("id is not null").mapInArrow(_symbol_batches(window), "id long, row long, key long, around long, p1 int, p2 int"))
+    shared = cut(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
     met = cut(rows.join(shared, "key"))
     classes = cut(met.groupBy("key", "around").agg(F.min("id").alias("least")))
-    many = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    many = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     placed = met.join(classes, ["key", "around"])
-    at_once = placed.filter("least < id").select("ra", "rb", _place("p1", "p2").alias("place"))
-    ends = (
-        placed.filter("least = id")
-        .join(cut(many), "key")
-        .groupBy("ra", "rb")
-        .agg(F.collect_set(_place("p1", "p2")).alias("places"))
-    )
-    single = t.join(ends, ["ra", "rb"]).mapInArrow(
-        _window_batches(window), "ra long, rb long, id long, h1 long, h2 long, p int"
-    )
+    at_once = placed.filter("least < id").select("id", "row", _place("p1", "p2").alias("place"))
+    ends = placed.filter("least = id").join(many, "key").groupBy("id", "row").agg(F.collect_set(_place("p1", "p2")).alias("places"))
+    single = join_apart(t, ends, ["row", "id"]).mapInArrow(_window_batches(window), "id long, row long, h1 long, h2 long, p int")
     first = single.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    later = join_apart(single, first, ["h1", "h2"]).filter("a < id").select("ra", "rb", _place("p", "p").alias("place"))
-    places = at_once.unionAll(later).groupBy("ra", "rb").agg(F.collect_set("place").alias("places"))
-    kept = t.join(places, ["ra", "rb"], "left").select("id", "text", "places")
+    later = join_apart(single, first, ["h1", "h2"]).filter("a < id").select("id", "row", _place("p", "p").alias("place"))
+    places = at_once.unionAll(later).groupBy("id", "row").agg(F.collect_set("place").alias("places"))
+    kept = join_apart(t, places, ["row", "id"], "left").select("id", "text", "places")
     out = kept.mapInArrow(_kept_batches(window, with_text), "id long, n_words long, n_removed long, kept string")
     return out.toDF(id_col, "n_words", "n_removed", "kept_text" if with_text else "kept_sha256")

@@ -192,7 +192,7 @@ def test_substring_empty(no_docs):
     assert substring_dedup.remove_repeats(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("window", [20, 27, 50])
+@pytest.mark.parametrize("window", [3, 20, 27, 50])
 def test_substring_with_runs_periods_and_passages(spark, window):
     rng = random.Random(window)
     passage = [f"p{i}" for i in range(120)]
@@ -223,10 +223,11 @@ def test_symbols_recur_with_their_context(middle, before, after):
     found = []
     for pre, post in (([], []), (before, after)):
         seq = pre + middle + post
-        s = recompression.recompress(h(seq), np.zeros(len(seq), dtype=np.int64), 3)
         lo, hi = len(pre), len(pre) + len(middle)
-        inside = (s.low >= lo) & (s.high <= hi)
-        found.append({(int(n), int(a) - lo, int(b) - lo) for n, a, b in zip(s.name[inside], s.start[inside], s.end[inside])})
+        found.append(set())
+        for s in recompression.recompress(h(seq), np.zeros(len(seq), dtype=np.int64), 3):
+            inside = (s.low >= lo) & (s.high <= hi)
+            found[-1] |= {(int(k), int(n), int(a) - lo, int(b) - lo) for k, n, a, b in zip(s.level[inside], s.name[inside], s.start[inside], s.end[inside])}
     assert found[0] == found[1] or found[0] <= found[1] or found[1] <= found[0]
     assert found[0] == found[1]
 
