@@ -1,20 +1,17 @@
 """License notices by conditional compression.
 
-Adjacent lines with words are one paragraph, so a wrapped notice is whole. Over each paragraph with a
-cue word slide windows as long as each wording; where a window has enough of its words, the span
-that aligns best is confirmed by its exact differences in words: what it adds to, lacks of and keeps
-of the wording. A short wording's own words, which no other license has, must be there. Spans that
-overlap are one notice: the one that agrees in most words less those that differ wins, then the
-one that saves the larger share of bytes when it is compressed with the wording as zstandard's raw
-dictionary.
-
-A line, or a sentence of a long one, that has a cue word and is in no such span is compressed on its
-own and with each wording. Wordings are ranked by the share of bytes they save, and the best ones
-are confirmed for the whole block. Years, versions and variant letters tell licenses apart, so the
-one with the fewest differing words wins, then the larger saving.
+Adjacent lines with words are one paragraph, so a wrapped notice is whole; lines and their lengths
+have no other meaning. Over each paragraph with a cue word slide windows as long as each wording, and
+where a window has enough of its words, the span that aligns best is a candidate block. A candidate
+is compressed on its own and with every wording as zstandard's raw dictionary, and the wordings are
+ranked by the share of bytes they save. In that order they are confirmed by their exact differences
+in words: what the block adds to, lacks of and keeps of a wording. A short wording's own words, which
+no other license has, must be there. Years, versions and variant letters tell licenses apart, so of
+blocks that overlap the one that agrees in most words less those that differ wins, then the better
+ranked. No wording is left out for its rank.
 
 Each text is read whole in one pass without a shuffle. Defined cases: null and empty texts have no
-blocks; equal ranks go to the smaller name; repeated rows each get a row; an empty table gives
+candidates; equal ranks go to the smaller name; repeated rows each get a row; an empty table gives
 none; other columns are ignored.
 """
 
@@ -32,19 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
 from .license_texts import WORDINGS
 
 # Words one of which every wording has.
 CUES = re.compile(r"licen[cs]e|copyright|\brights\s+reserved|permission|permitted|redistribut|public\s+domain|\bcc0?\b|as\s+is", re.I)
-#: Ranked wordings that are compared word by word; a block's share of a wording's words and the
-#: other way round that confirm it.
-RANKED = 5
+#: A block's share of a wording's words, and the other way round, that confirm it.
 SHARE = 0.8
 #: In wordings of up to so many words, those that only one license has must be there.
 SHORT_WORDS = 12
-#: Longer lines are cut in sentences.
-LINE_CHARS = 600
-_SENTENCE = re.compile(r"(?<=[.;:!?])\s+")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -81,46 +74,35 @@ class Matcher:
         self.known = frozenset(users)
         self.own = [{w for w in wording if len(users[w]) == 1} if len(wording) <= SHORT_WORDS else set() for _, wording, _ in self.items]
 
-    def spans(self, text: str) -> list[tuple[int, int, Match]]:
-        """Notices in a paragraph, with where they begin and end."""
+    def ranked(self, block: str) -> list[tuple[float, str, int]]:
+        """All wordings by the share of the block's bytes that they save: (- saved, license, number)."""
+        raw = plain(block)
+        alone = len(self.plain.compress(raw))
+        return sorted((-(alone - len(c.compress(raw))) / alone, name, i) for i, (name, _, c) in enumerate(self.items))
+
+    def spans(self, text: str) -> tuple[int, list[tuple[int, int, Match]]]:
+        """How many candidate blocks a paragraph has, and its notices with where they begin and end."""
         at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         own = [text[a:b].casefold() for a, b in at]
         total = Counter(w for w in own if w in self.known)
-        found = []
-        for i, (name, wording, compressor) in enumerate(self.items):
+        candidates: dict[tuple[int, int], dict[int, tuple]] = {}
+        for i, (_, wording, _) in enumerate(self.items):
             need = Counter(wording)
-            if sum(min(n, total[w]) for w, n in need.items()) < SHARE * len(wording) or any(w not in total for w in self.own[i]):
-                continue
-            for a, b, same, missing, added in _aligned(own, wording, need):
-                if self.own[i].isdisjoint(missing):
-                    block = text[at[a][0] : at[b - 1][1]]
-                    raw = plain(block)
-                    alone = len(self.plain.compress(raw))
-                    saved = (alone - len(compressor.compress(raw))) / alone
-                    found.append((len(missing) + len(added) - same, -saved, name, a, b, Match(block, name, saved, missing, added)))
+            if sum(min(n, total[w]) for w, n in need.items()) >= SHARE * len(wording) and all(w in total for w in self.own[i]):
+                for a, b, same, missing, added in _aligned(own, wording, need):
+                    candidates.setdefault((a, b), {})[i] = (same, missing, added)
+        found = []
+        for (a, b), alike in candidates.items():
+            block = text[at[a][0] : at[b - 1][1]]
+            for saved, name, i in self.ranked(block):
+                if i in alike and self.own[i].isdisjoint(alike[i][1]):
+                    same, missing, added = alike[i]
+                    found.append((len(missing) + len(added) - same, saved, name, a, b, Match(block, name, -saved, missing, added)))
         out: list[tuple[int, int, Match]] = []
         for *_, a, b, m in sorted(found, key=lambda f: f[:5]):
             if all(b <= x or a >= y for x, y, _ in out):
                 out.append((a, b, m))
-        return [(at[a][0], at[b - 1][1], m) for a, b, m in sorted(out, key=lambda f: f[:2])]
-
-    def match(self, block: str) -> Match | None:
-        raw = plain(block)
-        alone = len(self.plain.compress(raw))
-        ranked = sorted((-(alone - len(c.compress(raw))) / alone, name, i) for i, (name, _, c) in enumerate(self.items))
-        own = words(block)
-        best: tuple | None = None
-        for saved, name, i in ranked[:RANKED]:
-            wording = self.items[i][1]
-            parts = difflib.SequenceMatcher(None, own, wording, autojunk=False).get_opcodes()
-            same = sum(b - a for op, a, b, _, _ in parts if op == "equal")
-            if not own or same < SHARE * len(own) or same < SHARE * len(wording):
-                continue
-            added = tuple(w for op, a, b, _, _ in parts if op != "equal" for w in own[a:b])
-            missing = tuple(w for op, _, _, a, b in parts if op != "equal" for w in wording[a:b])
-            got = (len(added) + len(missing), saved, name, missing, added)
-            best = got if best is None or got < best else best
-        return Match(block, best[2], -best[1], best[3], best[4]) if best else None
+        return len(candidates), [(at[a][0], at[b - 1][1], m) for a, b, m in sorted(out, key=lambda f: f[:2])]
 
 
 def _aligned(own: list[str], wording: list[str], need: Counter) -> Iterator[tuple[int, int, int, tuple[str, ...], tuple[str, ...]]]:
@@ -178,42 +160,25 @@ def paragraphs(text: str) -> list[str]:
     return ["\n".join(p) for p in out if p]
 
 
-def notices(text: str | None, matcher: Matcher, seen: dict[str, Match | None]) -> tuple[int, list[Match]]:
-    """How many candidate blocks a text has, and the notices found. seen: blocks matched before."""
-    blocks = candidate_blocks(text)
-    found = []
-    for paragraph in paragraphs(text) if blocks or (text and CUES.search(text)) else ():
+def notices(text: str | None, matcher: Matcher, seen: dict[str, tuple[int, list[Match]]] | None = None) -> tuple[int, list[Match]]:
+    """How many candidate blocks a text has, and the notices found. seen: paragraphs matched before."""
+    seen = {} if seen is None else seen
+    n, found = 0, []
+    for paragraph in paragraphs(text) if text and CUES.search(text) else ():
         if not CUES.search(paragraph):
             continue
-        spans = matcher.spans(paragraph)
-        found += [m for _, _, m in spans]
-        begin = 0
-        for line in paragraph.split("\n"):
-            at = begin
-            begin += len(line) + 1
-            for b in candidate_blocks(line):
-                at = paragraph.index(b, at)
-                if all(at + len(b) <= x or at >= y for x, y, _ in spans):
-                    if b not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[b] = matcher.match(b)
-                    if seen[b]:
-                        found.append(seen[b])
-                at += len(b)
-    return len(blocks), found
-
-
-def candidate_blocks(text: str | None) -> list[str]:
-    if not text or not CUES.search(text):
-        return []
-    out = []
-    for line in text.split("\n"):
-        if CUES.search(line):
-            for block in _SENTENCE.split(line) if len(line) > LINE_CHARS else [line]:
-                if CUES.search(block):
-                    out.append(block.strip())
-    return out
+        if paragraph not in seen:
+            if len(seen) > 10_000:
+                seen.clear()
+            here, spans = matcher.spans(paragraph)
+            got = (here, [m for _, _, m in spans])
+            if len(paragraph) < 2000:  # short ones come again, long ones would only fill memory
+                seen[paragraph] = got
+        else:
+            got = seen[paragraph]
+        n += got[0]
+        found += got[1]
+    return n, found
 
 
 _matcher: Matcher | None = None
@@ -222,10 +187,10 @@ _matcher: Matcher | None = None
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     global _matcher
     _matcher = _matcher or Matcher()
-    seen: dict[str, Match | None] = {}
+    seen: dict[str, tuple[int, list[Match]]] = {}
     for batch in it:
         out = []
-        for text in batch.column(1).to_pylist():
+        for text in values(batch.column(1)):
             n_blocks, found = notices(text, _matcher, seen)
             names = sorted({m.license for m in found})
             out.append((n_blocks, len(found), ",".join(names) or None, max((m.saved for m in found), default=None), sum(len(m.missing) + len(m.added) for m in found)))

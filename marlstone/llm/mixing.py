@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import cut, word_count
 
@@ -21,6 +22,8 @@ SLICE_ROWS = 1024
 SLICE_FAN = 1024
 #: No source gives more than so many times its size.
 MOST_EPOCHS = 3
+#: Alike rows that one task brings back at a time.
+ALIKE_ROWS = 4096
 
 
 def _targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
@@ -63,6 +66,18 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _apart(groups: DataFrame) -> DataFrame:
+    """A row for each of a group's alike rows, each after the words of those before it; the rows of a
+    large group are brought back by many tasks."""
+    groups = cut(groups)
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {ALIKE_ROWS}")))
+    blocks = groups.filter("copies > 1").withColumn("block", block).repartition("key", "block")
+    last = F.least(F.col("copies"), (F.col("block") + 1) * ALIKE_ROWS) - 1
+    several = blocks.withColumn("k", F.explode(F.sequence(F.col("block") * ALIKE_ROWS, last)))
+    several = several.withColumn("before", F.col("before") + F.col("k") * F.col("size")).drop("block", "k")
+    return groups.filter("copies = 1").unionByName(several).drop("copies")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
@@ -79,23 +94,19 @@ def mix(
     epochs take every document; the last, partial epoch takes documents in key order and cuts the
     one at the budget, so the words taken equal the budget exactly.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
-    )
-    rows = cut(rows)
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
-    )
+    id_ = F.col(id_col) if docs.schema[id_col].dataType == StringType() else F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = cut(rows.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("copies")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    rows = rows.withColumn("key", key)
     targets = cut(_targets(sizes, weights, most))
 
     r = rows.alias("r")
     t = targets.alias("t")
     placed = (
         r.join(t, _same(F.col("r.source"), F.col("t.source")))
-        .select("r.id", "r.source", "r.size", "r.key", "t.source_size", "t.target", "t.n_rows")
+        .select("r.id", "r.source", "r.size", "r.copies", "r.key", "t.source_size", "t.target", "t.n_rows")
         .withColumn("slices", F.floor(F.col("n_rows") / SLICE_ROWS) + 1)
         .withColumn(
             "slice",
@@ -105,7 +116,7 @@ def mix(
     )
     placed = cut(placed)
 
-    per_slice = placed.groupBy("source", "slice").agg(F.sum("size").alias("s"))
+    per_slice = placed.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("copies")).alias("s"))
     per_slice = per_slice.withColumn("band", F.floor(F.col("slice") / SLICE_FAN))
     per_band = per_slice.groupBy("source", "band").agg(F.sum("s").alias("s"))
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -131,12 +142,13 @@ def mix(
 
     inside = Window.partitionBy("source", "slice").orderBy("key", "id", "size")
     p = placed.withColumn(
-        "within", F.coalesce(F.sum("size").over(up_to(inside)), F.lit(0))
+        "within", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(up_to(inside)), F.lit(0))
     ).alias("p")
     s = starts.alias("s")
     full = p.join(
         s, _same(F.col("p.source"), F.col("s.source")) & (F.col("p.slice") == F.col("s.slice"))
     ).select("p.*", (F.col("start") + F.col("within")).alias("before"))
+    full = _apart(full)
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5D) div source_size")).otherwise(0)
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("before")

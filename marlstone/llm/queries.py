@@ -112,9 +112,8 @@ from g
 
 OP2_SQL = r"""
 with d as (
-  select doc_id, source, md5('0:' || coalesce(cast(doc_id as varchar), '')) as key,
-         cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size
-  from documents
+  select *, md5('0:' || coalesce(cast(doc_id as varchar), '') || ':' || size) as key
+  from (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents) q
 ), s as (
   select source, cast(sum(size) as bigint) as source_size,
          row_number() over (order by source asc nulls last) as k

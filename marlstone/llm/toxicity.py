@@ -6,14 +6,14 @@ void the match. A document's matched weight, as such and per word, goes through
 fitted on the same rows.
 
 Learning reads at most `most_rows` labelled rows of each class, those with the smallest hash of
-their id, so what reaches the driver is bounded whatever the table's size: counts of features
-that pass a support threshold, and four numbers per sampled row. Scoring is one pass over all
-texts without a shuffle.
+their id, so what reaches the driver is bounded whatever the table's size: counts of the features
+of these rows that pass a support threshold, and four numbers per sampled row. Every feature that
+passes is an entry or exception. Scoring is one pass over all texts without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without matches; without a labelled
 row of each class every score is the share of label 1 (0 without any labels); null labels and ids
-take no part in learning; repeated rows are scored alike; a null id is not held out; other columns
-are ignored.
+take no part in learning; of rows with one id the text that sorts last is learned from; repeated rows
+are scored alike; a null id is not held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +48,7 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
 
 #: Labelled rows of each class that learning reads at most.
 MOST_ROWS = 5000
-#: Lexicon entries and exception phrases kept at most, and lengths of word beginnings tried.
-MOST_ENTRIES = 2000
+#: Lengths of word beginnings tried.
 PREFIXES = range(3, 9)
 CHANCE = 1e6
 THRESHOLD = 0.3
@@ -267,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     ids = picked[0].unionAll(picked[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # 2 * most_rows ids at most, so this side may be broadcast at any size of the tables
-    sample = _unlike(cut(texts.join(F.broadcast(ids), "id").dropDuplicates(["id"])))
+    sample = _unlike(cut(texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("y").alias("y"))))
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:
@@ -278,22 +277,17 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
         _counted(sample, _candidates)
         .withColumn("odds", _odds(n_pos, n_neg))
         .filter((F.col("pos") >= least) & (F.col("odds") >= 2.0) & (F.col("pos") >= 4 * F.col("neg")))
-        .orderBy((F.col("odds") * F.log1p("pos")).desc(), "feature")
-        .limit(10 * MOST_ENTRIES)
         .collect()
     )
     vague = _vague({r["feature"]: r["pos"] for r in found})
     entries = _without_covered({r["feature"]: r["odds"] for r in found if r["feature"] not in vague})
-    entries = dict(sorted(entries.items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
     model = Model(entries=entries)
     against = (
         _counted(sample, lambda folded: _contexts(model, folded))
         .filter((F.col("neg") >= 2) & (_odds(n_pos, n_neg) < -1.0))
-        .orderBy(F.col("neg").desc(), "feature")
-        .limit(MOST_ENTRIES)
         .collect()
     )
-    model = Model(entries=entries, exceptions=[r["feature"] for r in against])
+    model = Model(entries=entries, exceptions=sorted(r["feature"] for r in against))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

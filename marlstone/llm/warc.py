@@ -2,13 +2,14 @@
 
 A revisit says that a server answered 304. Its content is that of the latest earlier full response
 of the same canonical URL, if the validators agree; the response's headers are updated by those the
-304 may change. The as-of join is cut in time: captures of a URL fall in buckets of time, each
-bucket finds the latest response inside itself, and the last response of all earlier buckets is
-carried in by a window over buckets. A URL with a third of all captures so is many groups, and only
-ids, validators and headers move; bodies meet their revisits by record id at the end.
+304 may change. The as-of join is cut in ranges: all captures are dealt in ranges of URL, time and
+record id, each range finds the latest response of a URL inside itself, and the last response of a
+URL's earlier ranges is carried in by a window over its ranges. A URL with a third of all captures so
+is many groups, even if all have one time or none, and only ids, validators and headers move; bodies
+meet their revisits by record id at the end.
 
 Defined cases: a null url is a URL of its own ('') and a null time comes before all others; equal
-times are ordered by record id; a revisit without an earlier response, or with other validators,
+times are ordered by record id; header names are equal in any case; a revisit without an earlier response, or with other validators,
 stays unresolved with null content; repeated rows are captures of their own; null headers are
 empty; an empty table gives no rows.
 """
@@ -34,10 +35,10 @@ NOT_MERGED = (
 ).split()
 # Query parameters that name no other content.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|msclkid|sessionid|phpsessid)(=.*)?$"
-#: Captures in a bucket of time, about, and the most buckets.
-BUCKET_ROWS = 50_000
-MOST_BUCKETS = 256
+#: Captures in a range of URL, time and id, about.
+BUCKET_ROWS = 10_000
 
+#: id may be of any type that has an order.
 CAPTURES = "id long, url string, time long, is_full boolean, etag string, modified string, digest string, headers map<string,string>"
 
 
@@ -64,12 +65,9 @@ def resolve_revisits(captures: DataFrame, bodies: DataFrame | None = None) -> Da
     (id, body) also body."""
     c = captures.withColumn("url_key", canonical_url(F.col("url"))).withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     c = cut(c.select("id", "url_key", F.coalesce("time", F.lit(-(2**63))).alias("time"), "is_full", "etag", "modified", "digest", "headers"))
-    n_buckets = int(min(MOST_BUCKETS, 1 + c.count() // BUCKET_ROWS))
-    bounds = c.agg(F.percentile_approx("time", [i / n_buckets for i in range(1, n_buckets)] or [0.5], 1000)).first()[0] or []
-    bucket = F.lit(0)
-    for b in sorted(set(bounds)):
-        bucket = bucket + (F.col("time") > F.lit(b)).cast("int")
-    c = c.withColumn("bucket", bucket)
+    # what a range holds is sampled, so it is written before it is used twice
+    dealt = c.repartitionByRange(c.count() // BUCKET_ROWS + 1, "url_key", "time", "id")
+    c = cut(dealt.withColumn("bucket", F.spark_partition_id()))
     full = F.when(F.col("is_full"), F.struct("time", "id", "etag", "modified", "digest", "headers"))
     inside = Window.partitionBy("url_key", "bucket").orderBy("time", "id").rowsBetween(Window.unboundedPreceding, -1)
     near = c.withColumn("near", F.last(full, ignorenulls=True).over(inside))
@@ -92,7 +90,7 @@ def resolve_revisits(captures: DataFrame, bodies: DataFrame | None = None) -> Da
         F.when(F.col("is_full"), "full").when(F.col("original").isNull(), "no_response").when(agrees, "resolved").otherwise("mismatch")
     )
     permitted = F.map_filter("headers", lambda k, _: ~F.lower(k).isin(NOT_MERGED))
-    stored = F.map_filter("original.headers", lambda k, _: ~F.map_contains_key(permitted, k))
+    stored = F.map_filter("original.headers", lambda k, _: ~F.exists(F.map_keys(permitted), lambda n: F.lower(n) == F.lower(k)))
     out = joined.withColumn("status", status).select(
         "id",
         "url_key",
@@ -134,9 +132,12 @@ def _head(stream: io.BufferedIOBase) -> tuple[str, dict[str, str]] | None:
     return first, fields
 
 
-def records_of(content: bytes) -> Iterator[dict]:
-    """Records of a WARC file's bytes, plain or gzip with a member for each record."""
-    stream = io.BytesIO(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+def records_of(content: bytes | pa.Buffer) -> Iterator[dict]:
+    """Records of a WARC file's bytes, plain or gzip with a member for each record. One record is held
+    at a time, and the file's own bytes once."""
+    stream = io.BufferedReader(pa.BufferReader(content))
+    if bytes(content[:2]) == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
     while head := _head(stream):
         version, fields = head
         if not version.startswith("WARC/"):
@@ -176,7 +177,8 @@ def to_bytes(records: Iterable[dict], compress: bool = True) -> bytes:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path of any store that Spark reads; a file is one task's."""
+    """Records of all WARC files under a path of any store that Spark reads; a file, of at most 2 GB as
+    it is stored, is one row of Spark's and is read record by record."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 6 + [pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
@@ -185,7 +187,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 part: list[dict] = []
                 size = 0
-                for r in records_of(content.as_py()):
+                for r in records_of(content.as_buffer()):
                     part.append(r)
                     size += len(r["body"])
                     if size > 1 << 25:
@@ -201,7 +203,7 @@ def captures_of(records: DataFrame) -> DataFrame:
     """Response and revisit records in the form resolve_revisits takes; time in microseconds."""
     header = lambda n: F.element_at("headers", F.lit(n))
     return records.filter(F.col("type").isin("response", "revisit")).select(
-        F.xxhash64("record_id").alias("id"),
+        F.col("record_id").alias("id"),
         "url",
         F.unix_micros(F.to_timestamp("date")).alias("time"),
         (F.col("type") == "response").alias("is_full"),

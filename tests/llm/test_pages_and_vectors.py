@@ -11,20 +11,40 @@ from marlstone.llm.queries import op5_warc_revisits, oracle_sql
 
 
 def brute_nearest(rows, k, every):
-    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     out = []
-    for q in sorted(i for i in ok if i % every == 0):
-        d = sorted((float(np.sqrt(((ok[q] - ok[i]) ** 2).sum())), i) for i in ok if i != q)[:k]
-        out += [(q, n + 1, i, s) for n, (s, i) in enumerate(d)]
-    return out
+    for at, (q, v) in enumerate(ok):
+        if q % every == 0:
+            d = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for j, (i, w) in enumerate(ok) if j != at and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, s) for n, (s, i) in enumerate(d)]
+    return sorted(out)
 
 
-def test_search_on_odd_vectors(spark):
+def odd_vectors():
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]  # many ties and copies
-    rows += [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [1.0, float("nan"), 0.0]), (104, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (3, [3.0, 3.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("v", F.lit("x")).withColumn("part", F.lit(0))
+    rows += [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [1.0, float("nan"), 0.0]), (104, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    # rows of one id, and of other lengths
+    return [*rows, (3, [3.0, 3.0, 1.0]), (10, [9.0, 9.0, 9.0]), (20, [6.0, 0.0, 1.0]), (30, [1.0, 2.0]), (31, [2.0, 2.0]), (40, [5.0])]
+
+
+def test_search_on_odd_vectors(spark):
+    rows = odd_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("v", F.lit("x")).withColumn("part", F.lit(0)).withColumn("row", F.lit(0))
     got = learned_partitions.search(df, k=5, every=10, target_recall=1.0)
-    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == brute_nearest(rows, 5, 10)
+    assert sorted(map(tuple, got.collect())) == brute_nearest(rows, 5, 10)
+
+
+def test_search_on_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(learned_partitions, "SECOND_ROWS", 40)
+    monkeypatch.setattr(learned_partitions, "PARTS", (4, 8))
+    monkeypatch.setattr(learned_partitions, "SECOND_PARTS", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 6)))] + [(i + 2000, v) for i, v in odd_vectors() if i is not None]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows, 5, 10)
+    assert sorted(map(tuple, learned_partitions.search(df, k=5, every=10, target_recall=1.0).collect())) == want
+    got = {tuple(r)[::2] for r in learned_partitions.search(df, k=5, every=10, target_recall=0.9).collect()}
+    assert np.mean([(q, i) in got for q, _, i, _ in want]) >= 0.85
 
 
 def test_search_few_and_none(spark):
@@ -99,6 +119,20 @@ def test_revisits_take_the_latest_earlier_response_and_its_permitted_headers(spa
     assert got[2]["headers"] == {"etag": '"1"', "content-type": "text/html", "date": "2", "x-old": "y"}
 
 
+def test_header_names_meet_in_any_case(spark):
+    rows = [(1, "http://a/", 1, True, None, "m", "d", {"etag": "x", "Date": "1", "Server": "s"}), (2, "http://a/", 2, False, None, "m", None, {"ETag": "y", "date": "2"})]
+    got = {r["id"]: r for r in warc.resolve_revisits(captures(spark, rows)).collect()}
+    assert got[2]["headers"] == {"ETag": "y", "date": "2", "Server": "s"}
+
+
+def test_revisits_of_one_url_without_times(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUCKET_ROWS", 5)
+    rows = [(f"r{i:03}", "http://hot/", None, i == 7, '"e"', None, f"d{i}", {}) for i in range(60)]
+    df = spark.createDataFrame(rows, warc.CAPTURES.replace("id long", "id string"))
+    got = {r["id"]: (r["status"], r["refers_to"]) for r in warc.resolve_revisits(df).collect()}
+    assert got == {f"r{i:03}": ("full", None) if i == 7 else ("no_response", None) if i < 7 else ("resolved", "r007") for i in range(60)}
+
+
 def test_revisits_across_time_buckets_and_with_bodies(spark, monkeypatch):
     monkeypatch.setattr(warc, "BUCKET_ROWS", 7)
     rows = [(i, "http://hot/", i, i % 11 == 0, f'"{i // 11}"', None, f"d{i}", {}) for i in range(100)]

@@ -228,12 +228,11 @@ def test_scores_keep_all_columns(odd_docs):
     ],
 )
 def test_license_lines(line, name):
-    m = licenses.Matcher().match(line)
-    assert (m and m.license) == name
+    assert found(line) == ([name] if name else [])
 
 
 def found(text):
-    return sorted(m.license for m in licenses.notices(text, licenses.Matcher(), {})[1])
+    return sorted(m.license for m in licenses.notices(text, licenses.Matcher())[1])
 
 
 MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -272,7 +271,7 @@ def test_notices_wherever_they_stand(text, names):
 
 
 def test_differing_words_are_named():
-    m = licenses.Matcher().match("This work was licensed under the GNU General Public License, version 3.")
+    (m,) = licenses.notices("This work was licensed under the GNU General Public License, version 3.", licenses.Matcher())[1]
     assert m.license == "GPL-3.0" and m.missing == ("is",) and m.added == ("was",)
 
 
@@ -283,3 +282,130 @@ def test_license_scan_of_odd_documents(spark, odd_docs, no_docs):
     text = "Intro\nAll rights reserved.\n" + "x " * 2000 + ". Released under the MIT License. " + "y " * 900
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r["licenses"] == "All-Rights-Reserved,MIT" and r["n_confirmed"] == 2 and r["n_differing_words"] == 0
+
+
+def test_one_sentence_in_lines_of_any_length():
+    for n in (0, 10, 80, 140, 700):
+        assert found("x " * n + "Released under the MIT License." + " y" * n) == ["MIT"]
+    wrapped = "\n".join(MIT_GRANT.split()[i] for i in range(len(MIT_GRANT.split())))
+    assert found(wrapped) == ["MIT"]
+
+
+SMALL = {
+    "A-1": ("licensed under the first alpha license version 1",),
+    "A-2": ("licensed under the first alpha license version 2", "permission is granted to copy alpha things freely and without any fee"),
+    "B": ("copyright of all beta works is given to the public domain",),
+}
+
+
+def lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, best[j + 1] = best[j + 1], before + 1 if x == y else max(best[j], best[j + 1])
+    return best[-1]
+
+
+def brute_licenses(text):
+    """Every span of every paragraph against every wording; the best of those that overlap."""
+    out = []
+    for paragraph in licenses.paragraphs(text):
+        own, hits = licenses.words(paragraph), []
+        for name, wordings in SMALL.items():
+            for wording in map(licenses.words, wordings):
+                m = len(wording)
+                for a in range(len(own)):
+                    for b in range(a + math.ceil(0.8 * m), min(len(own), a + int(m / 0.8)) + 1):
+                        same = lcs(own[a:b], wording)
+                        if same >= 0.8 * m and same >= 0.8 * (b - a):
+                            hits.append(((b - a) + m - 3 * same, name, a, b))
+        taken = []
+        for _, name, a, b in sorted(hits):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                out.append(name)
+    return sorted(out)
+
+
+def test_notices_equal_brute_force_over_all_spans_and_wordings():
+    rng = np.random.default_rng(3)
+    matcher = licenses.Matcher(SMALL)
+    matcher.own = [set() for _ in matcher.own]  # brute force knows no such rule
+    noise = "the town has a new market and many people were there on its first day".split()
+    for _ in range(40):
+        words = []
+        for _ in range(rng.integers(1, 4)):
+            words += list(rng.choice(noise, rng.integers(3, 9)))
+            wording = list(SMALL[rng.choice(list(SMALL))][0].split()) if rng.random() < 0.7 else SMALL["A-2"][1].split()
+            if rng.random() < 0.4:
+                del wording[int(rng.integers(1, len(wording) - 1))]
+            words += wording
+        words += list(rng.choice(noise, 6))
+        sep = rng.choice([" ", "\n", "\n# "], len(words), p=[0.85, 0.1, 0.05])
+        text = "".join(w + x for w, x in zip(words, sep))
+        assert sorted(m.license for m in licenses.notices(text, matcher)[1]) == brute_licenses(text), text
+
+
+# -- toxicity against brute force ------------------------------------------------------------------
+
+
+def brute_score(model, text):
+    folded = toxicity.fold(text)
+    spots = {}
+    for e, w in model.entries.items():
+        for i in range(len(folded)):
+            if folded.startswith(e, i):
+                spots[i] = max(spots.get(i, 0.0), w)
+    for e in model.exceptions:
+        for i in range(len(folded)):
+            if folded.startswith(e, i):
+                spots = {at: w for at, w in spots.items() if not i <= at < i + len(e) - 1}
+    total, words = sum(w for w in spots.values() if w > 0), max(1, folded.count(" ") - 1)
+    z = sum(a * b for a, b in zip(model.coef, (1.0, math.log1p(total), math.log1p(100.0 * total / words), math.log1p(words))))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def labelled(spark):
+    """Clean and toxic texts: bad words in several spellings, one of them clean in a fixed phrase."""
+    rng = np.random.default_rng(11)
+    plain, bad = [f"word{chr(97 + i)}{chr(97 + i % 7)}" for i in range(26)], ["zorkel", "z0rkel", "blarging", "BLARGED", "grumpf", "grümpf"]
+    rows, marks = [], []
+    for i in range(500):
+        words = list(rng.choice(plain, rng.integers(5, 60)))
+        toxic = i % 4 == 0
+        for _ in range(rng.integers(1, 4) if toxic else 0):
+            words.insert(int(rng.integers(0, len(words))), str(rng.choice(bad)))
+        if i % 72 == 1:
+            words += ["old", "grumpf", "river"]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+
+
+def test_scores_equal_brute_force_over_all_entries(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.learn(docs, labels)
+    assert len(model.entries) >= 2 and model.exceptions and model.base is None
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]]["score"] == pytest.approx(brute_score(model, r["text"]), abs=1e-12)
+    right = [got[r["doc_id"]]["predicted"] == r["toxic"] for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert len(right) > 80 and np.mean(right) > 0.95
+
+
+def test_learning_does_not_hang_on_the_order_of_rows_or_on_repeats(spark):
+    docs, labels = labelled(spark)
+    again = docs.unionAll(docs.limit(50)).unionAll(docs.limit(50).selectExpr("doc_id", "'a' as text"))
+    a, b = toxicity.learn(docs, labels), toxicity.learn(again.repartition(5), labels.repartition(3))
+    assert a.entries == b.entries and a.exceptions == b.exceptions and a.coef == pytest.approx(b.coef, abs=1e-9)
+
+
+# -- hot keys of mixes -----------------------------------------------------------------------------
+
+
+def test_mix_of_rows_alike_equals_sql(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ALIKE_ROWS", 7)
+    rows = [(None, "a b c", "s")] * 50 + [(4, "one two", "s")] * 30 + [(i, "w " * (i % 9), "t" if i % 2 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert rows_of(mixing.mix(docs)) == duck({"documents": docs}, oracle_sql()["op2_mix_sources"])
