@@ -74,6 +74,11 @@ def join_apart(left: DataFrame, grouped: DataFrame, keys: list[str], how: str =
     return a.join(b, ["__j", *keys[1:]], how).drop("__j")
 
 
+def row_name(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits that name a row by all its columns; rows that are alike in all have one name."""
+    return F.xxhash64(*df.columns), F.xxhash64(F.lit(7), *reversed(df.columns))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")

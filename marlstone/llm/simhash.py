@@ -62,15 +62,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = np.fromiter(map(fingerprint, utf8(batch.column(1))), dtype=np.uint64, count=len(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+        out = np.fromiter(map(fingerprint, utf8(batch.column("text"))), dtype=np.uint64, count=len(batch))
+        rest = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out.view(np.int64))], [*rest.schema.names, "fp"])
     give_back()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long): the fingerprint of every row, as a signed 64-bit number."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id long, columns of keep, which are long, fp long): the fingerprint of every row, as a signed
+    64-bit number."""
+    longs = [F.col(c).cast("long").alias(n) for c, n in ((id_col, "id"), *((c, c) for c in keep))]
+    schema = ", ".join(f"`{n}` long" for n in ("id", *keep, "fp"))
+    return docs.select(*longs, F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, schema)
 
 
 def _keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,14 +168,18 @@ def links(distinct_fps: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     return pairs.unionAll(_midpoint_links(members))
 
 
+def roots(marked: DataFrame) -> DataFrame:
+    """Fingerprints (fp) -> (fp, root): equal roots for those that links join, once for each fingerprint."""
+    distinct = cut(marked.select("fp").distinct())
+    found = components(links(distinct))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     marked = cut(fingerprints(docs, id_col, text_col))
-    by_fp = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(by_fp.select("fp")))
-    placed = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    by_fp = marked.groupBy("fp").agg(F.min("id").alias("low"))
+    placed = cut(roots(marked).join(by_fp, "fp"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = join_apart(placed, least, ["root"]).select("fp", "component_id")
     return marked.join(named, "fp").select(

@@ -69,6 +69,19 @@ def test_one_row_of_a_component_stays_whatever_its_ids(spark, small_dir):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("5", b), ("3", c)])
 
 
+def test_rows_of_two_components_that_share_an_id(spark, small_dir):
+    a, b, c = (" ".join(f"{x}{n * n}" for n in range(60)) for x in "abc")
+    rows = [(1, a), (None, a), (5, a), (None, b), (5, c)]
+    got = cp.drop_near_copies(spark, few(spark, rows), small_dir).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", a), ("None", b), ("5", c)])
+
+
+def test_mix_takes_as_many_words_of_rows_alike(spark, small_dir):
+    docs = few(spark, [(1, "a b c d")] * 6 + [(None, "e f")] * 5 + [(2, "g h i")]).withColumn("source", F.when(F.col("doc_id") == 2, "b").otherwise("a"))
+    got = cp.mix_sources(spark, docs, small_dir).collect()
+    assert sum(len(r["text"].split()) for r in got) == 6 * 4 + 5 * 2 + 3
+
+
 def test_rows_of_one_id_that_differ_in_white_space_stay_once(spark, small_dir):
     got = cp.drop_exact_copies(spark, few(spark, [(1, "x y  z"), (1, "x y z"), (2, "x y z")]), small_dir).collect()
     assert [(r["doc_id"], r["text"]) for r in got] == [(1, "x y  z")]
