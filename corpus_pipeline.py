@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import exact_dedup, mixing, segmentation, simhash, toxicity
-from marlstone.llm.common import SPACE_CLASS, cut, free_name
+from marlstone.llm.common import SPACE_CLASS, cut, free_name, join_apart, row_name
 
 #: No SQL expresses a learned classifier or sampled segmentations; the tests hold the stages against
 #: brute force.
@@ -39,32 +39,39 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the smallest id stays, once; null is the last id."""
-    key, keep_key = (free_name(docs.columns, n) for n in ("row_key", "keep_key"))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # a row's own name: ids may be null or shared
-    groups = simhash.near_duplicates(keyed.select(key, "text"), id_col=key).groupBy(key, "component_id").agg(F.count(F.lit(1)).alias("n"))
-    ids = keyed.select(key, "doc_id").distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key, "n")).alias("best")
-    kept = groups.join(ids, key).groupBy("component_id").agg(best)
-    kept = cut(kept.select(F.col(f"best.{key}").alias(keep_key), "best.n"))
-    found = keyed.join(kept, keyed[key] == kept[keep_key], "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return found.drop(key)
-    # rows with one id and one text: one stays
-    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    return found.groupBy(key).agg(row).select("row.*")
+    a, b, keep_a, keep_b = (free_name(docs.columns, n) for n in ("row_a", "row_b", "keep_a", "keep_b"))
+    keyed = docs.withColumns(dict(zip((a, b), row_name(docs))))
+    marked = cut(simhash.fingerprints(keyed, keep=(a, b)))
+    # the row names themselves settle ties, so a component keeps one of several rows without an id
+    best = F.min(F.struct(F.col("id").isNull(), "id", a, b)).alias("best")
+    kept = join_apart(marked, simhash.roots(marked), ["fp"]).groupBy("root").agg(best)
+    kept = cut(kept.select(F.col(f"best.{a}").alias(keep_a), F.col(f"best.{b}").alias(keep_b)))
+    found = keyed.join(kept, (keyed[a] == kept[keep_a]) & (keyed[b] == kept[keep_b]), "left_semi")
+    return _once(found, marked, kept, (a, b), (keep_a, keep_b)).drop(a, b)
+
+
+def _once(found: DataFrame, marked: DataFrame, kept: DataFrame, names: tuple[str, str], keep: tuple[str, str]) -> DataFrame:
+    """found without repeats of rows that are alike in all columns; their texts travel only if there are
+    any."""
+    rows = marked.join(kept, (marked[names[0]] == kept[keep[0]]) & (marked[names[1]] == kept[keep[1]]), "left_semi")
+    again = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found if again.isEmpty() else found.dropDuplicates(list(names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document; the one at a source's budget is cut there."""
-    key, mix_key, size, taken, cut_at = (free_name(docs.columns, n) for n in ("row_key", "mix_key", "mix_size", "mix_taken", "mix_cut"))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # a row's own name: an id may be null
-    mixed = mixing.mix(keyed.select(key, "text", "source"), id_col=key)
-    mixed = mixed.filter("taken > 0").select(F.col(key).alias(mix_key), F.col("size").alias(size), F.col("taken").alias(taken))
-    mixed = cut(mixed.dropDuplicates([mix_key]))
-    rows = keyed.join(mixed, keyed[key] == mixed[mix_key])
-    whole, part = F.expr(f"cast(`{taken}` div `{size}` as int)"), F.expr(f"cast(`{taken}` % `{size}` as int)")
-    times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn(cut_at, F.explode(times))
+    a, b, mix_key, size, cuts, cut_at = (free_name(docs.columns, n) for n in ("row_a", "row_b", "mix_key", "mix_size", "mix_cuts", "mix_cut"))
+    keyed = docs.withColumns(dict(zip((a, b), row_name(docs))))
+    name = F.concat(F.hex(a), F.lit("-"), F.hex(b))
+    mixed = mixing.mix(keyed.select(name.alias(mix_key), "text", "source"), id_col=mix_key).filter("taken > 0")
+    # -1 for each whole epoch, then where the partial one is cut
+    times = F.concat(F.array_repeat(F.lit(-1), F.expr("cast(taken div size as int)")), F.when(F.expr("taken % size > 0"), F.array(F.expr("cast(taken % size as int)"))).otherwise(F.array().cast("array<int>")))
+    mixed = mixed.withColumn("times", times).groupBy(mix_key).agg(F.flatten(F.sort_array(F.collect_list("times"))).alias(cuts), F.count(F.lit(1)).alias("n"))
+    mixed = cut(mixed)
+    if not mixed.filter("n > 1").isEmpty():  # rows alike in all columns: one takes for all
+        keyed = keyed.dropDuplicates([a, b])
+    keyed = keyed.withColumn(mix_key, name)
+    rows = keyed.join(mixed.drop("n"), mix_key).withColumn(cut_at, F.explode(cuts))
     words = F.filter(F.split("text", f"{SPACE_CLASS}+"), lambda w: w != "")
     text = F.when(F.col(cut_at) < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col(cut_at))), " "))
     rows = rows.withColumn("text", text)
