@@ -16,8 +16,11 @@ with a smaller id. To find such windows without shuffling every one of them:
    at once. However often a passage is copied, one member of a class goes on.
 4. Only where a symbol has several classes - at the ends of a repeat - the windows of one member of
    each are named singly (128 bits), and the smallest document of each window is found.
+5. Windows of one row that recur in one other row at one distance are a stretch. The other row's
+   words of it travel to the row, and a stretch goes only if the words are the same.
 
-Names are 128 bits wide wherever equal names count as equal words.
+Texts travel only if a window of theirs may recur: the rows in question are put in a sieve of a fixed
+number of bits, which goes to all executors; what it lets through for nothing ends in the join.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; repeats inside a
 document or among rows with one id lose nothing; a row with a null id neither loses words nor takes
@@ -43,6 +46,9 @@ WINDOW = 50
 ROUNDS = 4
 #: Words that are worked on at once; a longer text is worked on alone.
 CHUNK_WORDS = 200_000
+#: Bits of the sieve; it is a table of 64 bits a row.
+SIEVE_BITS = 1 << 25
+_FOUND = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.string())]))
 _LOW32 = U(0xFFFFFFFF)
 _NO_SYMBOL = U(0xFFFFFFFFFFFFFFFF)
 
@@ -71,7 +77,8 @@ class _Least:
 
 def shared_symbols(texts: list[list[bytes]], window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Rows of word lists: (which text, symbol's name, name of symbol and surroundings, first window's
-    start, last window's start), windows counted from the text's first word."""
+    start, last window's start), windows counted from the text's first word. Of the equal windows of
+    a run of one word only the first is there."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -107,6 +114,7 @@ def shared_symbols(texts: list[list[bytes]], window: int = WINDOW, rounds: int =
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(p)) - 1
     own, at, key, p1, p2 = own[first], at[first], key[first], p[first], p[last]
+    p2 = np.where(own, p1, p2)  # a run of one word: its first window stands for all
     which = text[p1]
     low = np.where(own, p1, np.maximum(begins[which], highs[at] - window))
     high = np.where(own, p1 + window, np.minimum(ends[which], lows[at] + window))
@@ -168,22 +176,70 @@ def _window_batches(window: int):
     return batches
 
 
-def covered(n_words: int, places: list[int] | None, window: int = WINDOW) -> np.ndarray:
-    """Of each word whether a window that starts at one of the places is over it."""
-    edge = np.zeros(n_words + 1, dtype=np.int64)
-    for x in places or ():
-        edge[x >> 32] += 1
-        edge[(x & 0xFFFFFFFF) + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def _reference_batches(window: int):
+    """Rows with text, and a row that asks for places in it by its own and their shifts: the words of
+    each stretch of windows that overlap or touch, and where it lies in the row that asks."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            last, words = None, []
+            for name, text, id_, row, places in zip(*(_column(batch, c) for c in ("name", "text", "id", "row", "places"))):
+                if name != last:
+                    last, words = name, words_of(text)
+                shifted: dict[int, list[int]] = {}
+                for x in places:
+                    shifted.setdefault(x["shift"], []).append(x["place"])
+                found = [{"at": a, "words": b" ".join(words[a - n : b - n]).decode()} for n, some in sorted(shifted.items()) for a, b in stretches(some, window)]
+                yield pa.RecordBatch.from_arrays([pa.array([id_], pa.int64()), pa.array([row], pa.int64()), pa.array([found], _FOUND)], ["id", "row", "found"])
+
+    return batches
+
+
+def stretches(places: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Begin and end of the words that windows cover which start at places (first * 2^32 + last)."""
+    out: list[list[int]] = []
+    for x in sorted(places):
+        a, b = x >> 32, (x & 0xFFFFFFFF) + window
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def removed(words: list[bytes], found, window: int) -> np.ndarray:
+    """Of each word whether it lies in a stretch whose words are those of its reference, or in a run of
+    one word of which such a stretch holds a window."""
+    gone = np.zeros(len(words), dtype=bool)
+    for f in found or ():
+        again = f["words"].encode().split()
+        a, b = f["at"], f["at"] + len(again)
+        if words[a:b] != again:
+            continue
+        gone[a:b] = True
+        at = a
+        while at + window <= b:
+            end = at + 1
+            while end < b and words[end] == words[at]:
+                end += 1
+            if end - at >= window:
+                left, right = at, end
+                while left and words[left - 1] == words[at]:
+                    left -= 1
+                while right < len(words) and words[right] == words[at]:
+                    right += 1
+                gone[left:right] = True
+            at = end
+    return gone
 
 
 def _kept_batches(window: int, with_text: bool):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out = []
-            for text, places in zip(_column(batch, "text"), _column(batch, "places")):
+            for text, found in zip(_column(batch, "text"), _column(batch, "found")):
                 words = words_of(text)
-                gone = covered(len(words), places, window)
+                gone = removed(words, found, window)
                 n_gone = int(gone.sum())
                 left = b" ".join(w for w, g in zip(words, gone) if not g) if n_gone else b" ".join(words)
                 digest = hashlib.sha256(left).hexdigest()
@@ -196,10 +252,24 @@ def _kept_batches(window: int, with_text: bool):
     return batches
 
 
+def _sieved(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """t with `hit`: false only for rows that are certainly not among rows (id, row)."""
+    slot = F.pmod(F.xxhash64("id", "row"), F.lit(SIEVE_BITS))
+    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, row), {SIEVE_BITS}) & 63 as int))")
+    sieve = cut(rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask")))  # SIEVE_BITS / 64 rows at most
+    met = t.join(F.broadcast(sieve), word == F.col("word"), "left")
+    return met.withColumn("hit", F.coalesce(F.col("mask").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "mask")
+
+
 def _place(p1: str, p2: str):
     return F.shiftleft(F.col(p1).cast("long"), 32).bitwiseOR(F.col(p2).cast("long"))
 
 
+def _selected(repeats: DataFrame, p1: str, p2: str) -> DataFrame:
+    """Windows of a row that recur in the row ref, whose place there is `shift` words before."""
+    return repeats.select("id", "row", _place(p1, p2).alias("place"), F.col("ref.id").alias("ref_id"), F.col("ref.row").alias("ref_row"), (F.col(p1) - F.col("ref.p")).alias("shift"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_removed, and kept_sha256 (or kept_text, with_text)."""
     if window < 1:
@@ -210,15 +280,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = cut(t.filter("id is not null").mapInArrow(_symbol_batches(window), "id long, row long, key long, around long, p1 int, p2 int"))
     shared = cut(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
     met = cut(rows.join(shared, "key"))
-    classes = cut(met.groupBy("key", "around").agg(F.min("id").alias("least")))
+    first = lambda p: F.min(F.struct("id", "row", F.col(p).alias("p"))).alias("ref")
+    classes = cut(met.groupBy("key", "around").agg(first("p1")))
     many = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     placed = met.join(classes, ["key", "around"])
-    at_once = placed.filter("least < id").select("id", "row", _place("p1", "p2").alias("place"))
-    ends = placed.filter("least = id").join(many, "key").groupBy("id", "row").agg(F.collect_set(_place("p1", "p2")).alias("places"))
-    single = join_apart(t, ends, ["row", "id"]).mapInArrow(_window_batches(window), "id long, row long, h1 long, h2 long, p int")
-    first = single.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    later = join_apart(single, first, ["h1", "h2"]).filter("a < id").select("id", "row", _place("p", "p").alias("place"))
-    places = at_once.unionAll(later).groupBy("id", "row").agg(F.collect_set("place").alias("places"))
-    kept = join_apart(t, places, ["row", "id"], "left").select("id", "text", "places")
-    out = kept.mapInArrow(_kept_batches(window, with_text), "id long, n_words long, n_removed long, kept string")
+    at_once = _selected(placed.filter("ref.id < id"), "p1", "p2")
+    ends = placed.filter("ref.id = id").join(many, "key").groupBy("id", "row").agg(F.collect_set(_place("p1", "p2")).alias("places"))
+    ends = cut(ends)
+    single = join_apart(_sieved(t, ends).filter("hit"), ends, ["row", "id"]).mapInArrow(_window_batches(window), "id long, row long, h1 long, h2 long, p int")
+    recurring = single.groupBy("h1", "h2").agg(first("p"), F.max("id").alias("b")).filter("ref.id < b")
+    later = _selected(join_apart(single, recurring, ["h1", "h2"]).filter("ref.id < id"), "p", "p")
+    asked = cut(at_once.unionAll(later).groupBy("id", "row", "ref_id", "ref_row").agg(F.collect_set(F.struct("shift", "place")).alias("places")))
+
+    refs = _sieved(t, asked.select(F.col("ref_id").alias("id"), F.col("ref_row").alias("row"))).filter("hit")
+    refs = refs.select(F.col("id").alias("ref_id"), F.col("row").alias("ref_row"), "text").dropDuplicates(["ref_id", "ref_row"])
+    wanted = join_apart(asked, refs, ["ref_row", "ref_id"]).select(F.struct("ref_id", "ref_row").alias("name"), "text", "id", "row", "places")
+    found = wanted.mapInArrow(_reference_batches(window), "id long, row long, found array<struct<at: bigint, words: string>>")
+    found = found.groupBy("id", "row").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+    t = _sieved(t, asked.select("id", "row"))
+    clean = t.filter("not hit").select("id", "text", F.lit(None).cast("array<struct<at: bigint, words: string>>").alias("found"))
+    touched = join_apart(t.filter("hit"), found, ["row", "id"], "left").select("id", "text", "found")
+    schema = "id long, n_words long, n_removed long, kept string"
+    out = clean.mapInArrow(_kept_batches(window, with_text), schema).unionAll(touched.mapInArrow(_kept_batches(window, with_text), schema))
     return out.toDF(id_col, "n_words", "n_removed", "kept_text" if with_text else "kept_sha256")

@@ -215,6 +215,19 @@ def test_substring_with_runs_periods_and_passages(spark, window):
     check_substring(spark, rows, window)
 
 
+def test_words_that_differ_are_no_repeat():
+    """What names say is checked on the words themselves."""
+    words = [b"a", b"b", b"c", b"d", b"e"]
+    found = [{"at": 0, "words": "a b"}, {"at": 2, "words": "c x"}, {"at": 4, "words": "e f"}]
+    assert substring_dedup.removed(words, found, 2).tolist() == [True, True, False, False, False]
+
+
+def test_without_rounds_every_window_travels():
+    text = [f"w{i * i % 997}".encode() for i in range(600)]
+    few, all_ = (len(substring_dedup.shared_symbols([text], 50, rounds)[0]) for rounds in (4, 0))
+    assert all_ == 551 and few < all_ / 8
+
+
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.integers(0, 3), max_size=20), st.lists(st.integers(0, 3), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_symbols_recur_with_their_context(middle, before, after):
