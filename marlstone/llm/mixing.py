@@ -148,7 +148,7 @@ def mix(
     full = p.join(
         s, _same(F.col("p.source"), F.col("s.source")) & (F.col("p.slice") == F.col("s.slice"))
     ).select("p.*", (F.col("start") + F.col("within")).alias("before"))
-    full = _apart(full)
+    full = full.drop("copies") if rows.filter("copies > 1").isEmpty() else _apart(full)
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5D) div source_size")).otherwise(0)
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("before")
