@@ -2,12 +2,15 @@
 
 Scans, projections, filters and unions pass deltas on; an inner join adds the three products of
 old and new; groups and distinct rows that a delta touches are computed before and after it. State
-is the integral of a delta, written as a table after each step, so a restarted step reads it again.
-Rows that a step doesn't touch are only met in the semi-join that finds the touched ones.
+is the deltas that came, each a table in buckets of its key, appended as it comes and put together now
+and then. A step reads only the buckets that its delta touches, so its work follows the delta. What a
+circuit stands on is one entry of a log a step: a restarted circuit goes on from the last, and a batch
+that comes again changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from functools import reduce
@@ -23,6 +26,10 @@ from ..plans.refresh import analyze
 from ..plans.schema import schema_of
 
 WEIGHT = "__weight"
+BUCKET = "__bucket"
+#: Buckets of a state, and deltas of it from which they are put together.
+BUCKETS = 32
+COMPACT = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,8 +65,10 @@ def from_upserts(changes: DataFrame, current: DataFrame, key: list[str], order:
 
 
 def rows_of(integral: DataFrame) -> DataFrame:
-    """A multiset of rows from its weights."""
-    return integral.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col(WEIGHT)))).drop("__n", WEIGHT)
+    """A multiset of rows from its weights; a weight below zero is an error."""
+    negative = F.raise_error(F.concat(F.lit("a row has weight "), F.col(WEIGHT).cast("string"))).cast("long")
+    times = F.when(F.col(WEIGHT) < 0, negative).otherwise(F.col(WEIGHT))
+    return integral.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop("__n", WEIGHT)
 
 
 def _aggregate(df: DataFrame, node: ir.Aggregate) -> DataFrame:
@@ -84,29 +93,82 @@ def _aggregate(df: DataFrame, node: ir.Aggregate) -> DataFrame:
 class Circuit:
     """A compiled plan with the state of its joins, groups and distincts."""
 
-    def __init__(self, spark: SparkSession, plan: ir.Node, count_work: bool = False):
+    def __init__(self, spark: SparkSession, plan: ir.Node, count_work: bool = False, folder: str | None = None):
         """count_work: add up in `work` the rows that steps look at (deltas, and touched groups before
-        and after), for a decision between steps and recomputing."""
+        and after), for a decision between steps and recomputing. folder: where state lives on; a
+        circuit of the same plan and folder goes on where the last one stopped."""
+        from ..catalog.datasets import Store
+
         mode = analyze(plan)
         if not mode.incremental:
             raise ValueError("no incremental form: " + "; ".join(mode.reasons))
         self.spark, self.plan = spark, plan
-        self.state: dict[str, DataFrame] = {}
+        self.folder = folder or f"{shared_folder(spark)}/circuit-{uuid.uuid4().hex}"
+        self.store = Store(spark, self.folder)
+        self.state: dict[str, list[str]] = {}  # tables, by place in the plan
+        self.steps, self.batch, self.out = 0, None, ""
         self.count_work, self.work = count_work, 0
+        if log := self.store.names("_log"):
+            last = json.loads(self.store.read(f"_log/{log[-1]}"))
+            if last["plan"] != repr(plan):
+                raise ValueError("the folder has the state of another plan")
+            self.steps, self.batch, self.out, self.state = (last[k] for k in ("step", "batch", "out", "state"))
+
+    def _schema(self, node: ir.Node) -> T.StructType:
+        return T.StructType([T.StructField(n, ty.to_spark(f.type)) for n, f in schema_of(node).items()] + [T.StructField(WEIGHT, T.LongType())])
 
     def _empty(self, node: ir.Node) -> DataFrame:
-        fields = [T.StructField(n, ty.to_spark(f.type)) for n, f in schema_of(node).items()]
-        return self.spark.createDataFrame([], T.StructType([*fields, T.StructField(WEIGHT, T.LongType())]))
-
-    def step(self, deltas: dict[tuple[str, str], DataFrame]) -> DataFrame:
-        """The view's own delta for these deltas of its leaves; state moves on."""
-        new: dict[str, DataFrame] = {}
-        out = stored(consolidate(self._delta(self.plan, deltas, "0", new)))
-        for path, integral in new.items():
-            self.state[path] = stored(consolidate(integral))
-        return out
-
-    def _delta(self, node: ir.Node, deltas, path: str, new: dict[str, DataFrame]) -> DataFrame:
+        return self.spark.createDataFrame([], self._schema(node))
+
+    def step(self, deltas: dict[tuple[str, str], DataFrame], batch: int | None = None) -> DataFrame:
+        """The view's own delta for these deltas of its leaves; state moves on. batch: a number that
+        grows; the last one that was applied gives its delta again and changes nothing."""
+        if batch is not None and self.batch is not None and batch <= self.batch:
+            if batch < self.batch:
+                raise ValueError(f"batch {batch} came after batch {self.batch}")
+            return self.spark.read.schema(self._schema(self.plan)).parquet(f"{self.folder}/{self.out}")
+        new: dict[str, tuple[str, T.StructType]] = {}
+        name = f"out-{uuid.uuid4().hex[:12]}"
+        consolidate(self._delta(self.plan, deltas, "0", new)).write.parquet(f"{self.folder}/{name}")
+        schemas = {path: schema for path, (_, schema) in new.items()}
+        state = {path: [*self.state.get(path, ()), table] for path, (table, _) in new.items()}
+        state = {**self.state, **state}
+        done = [p for p, tables in state.items() if len(tables) > COMPACT and p in schemas]
+        old = [t for p in done for t in state[p]]
+        for p in done:
+            state[p] = [self._put_together(state[p], schemas[p])]
+        entry = {"plan": repr(self.plan), "step": self.steps + 1, "batch": batch, "out": name, "state": state}
+        if not self.store.create(f"_log/{self.steps + 1:012d}.json", json.dumps(entry)):
+            raise ValueError(f"step {self.steps + 1} was taken by another circuit")
+        self.steps, self.batch, self.out, self.state = self.steps + 1, batch, name, state
+        for t in old:
+            self.store.delete(t)
+        return self.spark.read.schema(self._schema(self.plan)).parquet(f"{self.folder}/{name}")
+
+    def _append(self, delta: DataFrame, bucket: Column) -> tuple[str, DataFrame, list[int]]:
+        """Write a delta in buckets: its table, itself as read again, and the buckets it has rows in."""
+        table = f"delta-{uuid.uuid4().hex[:12]}"
+        delta.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.folder}/{table}")
+        touched = [int(n.split("=")[1]) for n in self.store.names(table) if n.startswith(BUCKET)]
+        return table, self._tables([table], delta.schema), touched
+
+    def _tables(self, tables: list[str], schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of tables, from the given buckets alone."""
+        paths = [f"{self.folder}/{t}" for t in tables]
+        if not paths or buckets == []:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())]))
+        df = reduce(DataFrame.unionAll, [reader.parquet(p) for p in paths])
+        return (df if buckets is None else df.filter(F.col(BUCKET).isin(buckets))).drop(BUCKET)
+
+    def _put_together(self, tables: list[str], schema: T.StructType) -> str:
+        table = f"state-{uuid.uuid4().hex[:12]}"
+        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())]))
+        df = reduce(DataFrame.unionAll, [reader.parquet(f"{self.folder}/{t}") for t in tables])
+        consolidate(df).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.folder}/{table}")
+        return table
+
+    def _delta(self, node: ir.Node, deltas, path: str, new: dict[str, tuple[str, T.StructType]]) -> DataFrame:
         sub = lambda n, k: self._delta(n, deltas, f"{path}.{k}", new)
         match node:
             case ir.Scan(source, relation, columns):
@@ -123,10 +185,13 @@ class Circuit:
                 parts = [sub(x, k).select(*[F.col(f"`{n}`").cast(ty.to_spark(f.type)).alias(n) for n, f in fields.items()], WEIGHT) for k, x in enumerate(inputs)]
                 return reduce(DataFrame.unionByName, parts)
             case ir.Join(left, right, on, _):
-                da, db = stored(sub(left, 0)), stored(sub(right, 1))
-                a = self.state.get(f"{path}/l", self._empty(left))
-                b = self.state.get(f"{path}/r", self._empty(right))
-                new[f"{path}/l"], new[f"{path}/r"] = a.unionByName(da), b.unionByName(db)
+                # equal keys are in one bucket on both sides: what the right key is as the left's type
+                kinds = [ty.to_spark(schema_of(left)[i].type) for i, _ in on]
+                left_table, da, in_a = self._append(sub(left, 0), _bucket([F.col(f"`{i}`") for i, _ in on]))
+                right_table, db, in_b = self._append(sub(right, 1), _bucket([F.col(f"`{j}`").try_cast(t) for (_, j), t in zip(on, kinds)]))
+                new[f"{path}/l"], new[f"{path}/r"] = (left_table, da.schema), (right_table, db.schema)
+                a = self._tables(self.state.get(f"{path}/l", []), da.schema, in_b)
+                b = self._tables(self.state.get(f"{path}/r", []), db.schema, in_a)
                 if self.count_work:
                     self.work += da.count() + db.count()
                 names = [*schema_of(left), *schema_of(right)]
@@ -145,11 +210,11 @@ class Circuit:
                 return self._recomputed(input, names, unique, sub(input, 0), path, new)
         raise TypeError(type(node).__name__)
 
-    def _recomputed(self, input: ir.Node, by: list[str], f, delta: DataFrame, path: str, new: dict[str, DataFrame]) -> DataFrame:
-        delta = stored(consolidate(delta))
-        state = self.state.get(path, self._empty(input))
-        new[path] = state.unionByName(delta)
-        before, after = state, new[path]
+    def _recomputed(self, input: ir.Node, by: list[str], f, delta: DataFrame, path: str, new: dict[str, tuple[str, T.StructType]]) -> DataFrame:
+        table, delta, touched_buckets = self._append(consolidate(delta), _bucket([F.col(f"`{c}`") for c in by]))
+        new[path] = (table, delta.schema)
+        before = self._tables(self.state.get(path, []), delta.schema, touched_buckets)
+        after = before.unionByName(delta)
         if by:
             touched = delta.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)]).distinct()
             same = lambda df: reduce(lambda p, q: p & q, [df[f"`{c}`"].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)])
@@ -160,3 +225,5 @@ class Circuit:
         return f(consolidate(after)).unionByName(old.withColumn(WEIGHT, -F.col(WEIGHT)))
 
 
+def _bucket(keys: list[Column]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if keys else F.lit(0)

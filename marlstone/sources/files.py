@@ -119,6 +119,20 @@ def read_jdbc(spark: SparkSession, url: str, request, dialect: str, partition: t
     return reader.option("query", text).load()
 
 
+def _swapped(df: DataFrame, path: str) -> None:
+    """Write df beside path, and only when it is whole put it in its place. A crash between the two
+    renames leaves both the old table (path.before) and the new one (path.next) whole."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    now, after, before = (hadoop(path + end) for end in ("", ".next", ".before"))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(path + ".next")
+    fs.delete(before, True)
+    if not (fs.rename(now, before) and fs.rename(after, now)):
+        raise OSError(f"{path} could not be swapped")
+    fs.delete(before, True)
+
+
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", key: list[str] | None = None, order: str | None = None) -> DataFrame:
     """overwrite, append, or upsert by key: the new content, written beside the old and then returned.
     A table without columns, a column of type null, and a list of lists are refused."""
@@ -139,8 +153,7 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", key: list[s
             raise ValueError("a key comes twice")
         old = df.sparkSession.read.parquet(path)
         merged = old.join(df.select(*key), key, "left_anti").unionByName(df.select(*old.columns))
-        merged.write.mode("overwrite").parquet(path + ".next")  # what is being read can't be overwritten
-        df.sparkSession.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
+        _swapped(merged, path)
     else:
         raise ValueError(f"no mode {mode}")
     return df.sparkSession.read.parquet(path)

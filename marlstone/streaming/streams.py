@@ -45,12 +45,13 @@ def deduplicated(df: DataFrame, keys: list[str], time: str, late: str) -> DataFr
 
 def maintain(stream: DataFrame, circuit: Circuit, leaf: tuple[str, str], sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Feed a stream of inserts (or of rows with weights) through a circuit; each micro-batch is one
-    step, and its output delta goes to `sink` with the batch's number. Use an idempotent sink: a batch
-    that failed after the step comes again."""
+    step, and its output delta goes to `sink` with the batch's number. A batch whose sink failed comes
+    again: the circuit then gives the same delta and its state stays, so only the sink must take a
+    number twice. After a restart go on with a circuit of the same folder."""
 
     def step(batch: DataFrame, number: int) -> None:
         delta = batch if "__weight" in batch.columns else as_delta(batch)
-        sink(circuit.step({leaf: delta}), number)
+        sink(circuit.step({leaf: delta}, batch=number), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

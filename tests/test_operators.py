@@ -393,3 +393,77 @@ def test_upquery_fills_a_key(spark):
     df = spark.createDataFrame([(1, 5), (None, 6)], "k long, v long")
     run = lambda key: [r["v"] for r in to_dataframe(upquery(A, ("k",), key), lambda s: df).collect()]
     assert run((1,)) == [5] and run((None,)) == [6]
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    plan = ir.Aggregate(A, ("k",), (("n", "count", None), ("s", "sum", "v")))
+    delta = lambda *rows: {("s", "a"): dl.as_delta(spark.createDataFrame(rows, "k long, v long"))}
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    c = dl.Circuit(spark, plan, folder=f"file://{tmp_path}/c")
+    c.step(delta((1, 5), (2, 6)), batch=0)
+    first = got(c.step(delta((1, 7)), batch=1))
+    assert first == [(1, 1, 5, -1), (1, 2, 12, 1)]
+    assert got(c.step(delta((1, 7)), batch=1)) == first  # the sink failed, and it comes again
+    again = dl.Circuit(spark, plan, folder=f"file://{tmp_path}/c")  # a restart
+    assert got(again.step(delta((1, 7)), batch=1)) == first
+    assert got(again.step(delta((1, 1)), batch=2)) == [(1, 2, 12, -1), (1, 3, 13, 1)]
+    with pytest.raises(ValueError, match="came after"):
+        again.step(delta((1, 7)), batch=0)
+    with pytest.raises(ValueError, match="another plan"):
+        dl.Circuit(spark, ir.Distinct(A), folder=f"file://{tmp_path}/c")
+
+
+def test_a_step_reads_only_touched_buckets_and_appends(spark, tmp_path):
+    plan = ir.Aggregate(A, ("k",), (("n", "count", None),))
+    c = dl.Circuit(spark, plan, folder=f"file://{tmp_path}/c")
+    c.step({("s", "a"): dl.as_delta(spark.range(4000).selectExpr("id % 400 as k", "id as v"))})
+    (loaded,) = c.state["0"]
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "c" / loaded).rglob("*.parquet")}
+    one = {("s", "a"): dl.as_delta(spark.createDataFrame([(7, 1)], "k long, v long"))}
+    c.step(one)
+    assert c.state["0"][0] == loaded and len(c.state["0"]) == 2
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "c" / loaded).rglob("*.parquet")} == files
+    assert len(list((tmp_path / "c" / c.state["0"][1]).rglob("*.parquet"))) == 1
+    read = c._tables(c.state["0"], c._schema(A), [int(n.split("=")[1]) for n in c.store.names(c.state["0"][1]) if "=" in n])
+    assert read.count() < 4000 / 8
+
+
+def test_deltas_are_put_together_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dl, "COMPACT", 2)
+    c = dl.Circuit(spark, ir.Aggregate(A, ("k",), (("n", "count", None),)), folder=f"file://{tmp_path}/c")
+    total = None
+    for i in range(6):
+        out = c.step({("s", "a"): dl.as_delta(spark.createDataFrame([(1, i), (i, 0)], "k long, v long"))})
+        total = out if total is None else dl.consolidate(total.unionByName(out))
+        assert len(c.state["0"]) <= 2
+    assert sorted(tuple(r) for r in dl.rows_of(total).collect()) == [(0, 1), (1, 7), (2, 1), (3, 1), (4, 1), (5, 1)]
+
+
+def test_a_negative_weight_is_no_row(spark):
+    df = spark.createDataFrame([(1, 2), (2, 0)], "k long, __weight long")
+    assert [r["k"] for r in dl.rows_of(df).collect()] == [1, 1]
+    with pytest.raises(Exception, match="weight -1"):
+        dl.rows_of(spark.createDataFrame([(1, -1)], "k long, __weight long")).collect()
+
+
+def test_a_stream_whose_sink_fails_is_applied_once(spark, tmp_path):
+    from marlstone.streaming import streams
+
+    spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, v long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    scan = ir.Scan("s", "a", (("k", "String"), ("v", "Integer")))
+    plan = ir.Aggregate(scan, ("k",), (("n", "count", None),))
+    seen, fail = [], [True]
+
+    def sink(delta, number):
+        if fail.pop() if fail else False:
+            raise RuntimeError("sink")
+        seen.append((number, sorted(tuple(r) for r in delta.collect())))
+
+    for _ in range(2):
+        stream = spark.readStream.schema("k string, v long").parquet(f"{tmp_path}/in")
+        q = streams.maintain(stream, dl.Circuit(spark, plan, folder=f"file://{tmp_path}/state"), ("s", "a"), sink, f"{tmp_path}/ck")
+        try:
+            q.awaitTermination()
+        except Exception as e:
+            assert "sink" in str(e)
+    assert seen == [(0, [("x", 2, 1), ("y", 1, 1)])]
