@@ -1,7 +1,8 @@
 """Geometry as ISO WKB in binary columns: codec, measures and predicates, vectorised by Arrow batches.
 
 Planar arithmetic on the coordinates as they are. Supported exactly: points, lines, polygons with
-holes, and their multi forms; intersection area for pairs in which one polygon is convex.
+holes, and their multi forms. Where one side of a predicate is points and the other areas, all points
+of a batch that meet one area are tested at once.
 """
 
 from __future__ import annotations
@@ -270,6 +271,42 @@ def point_position(x: float, y: float, g) -> int:
     return best
 
 
+def _in_rings(x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """_in_ring of many points."""
+    x1, y1, x2, y2 = r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1]
+    out = np.empty(len(x), dtype=np.int8)
+    step = max(1, (1 << 20) // max(1, len(x1)))
+    for at in range(0, len(x), step):
+        px, py = x[at : at + step, None], y[at : at + step, None]
+        cross = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+        on = (cross == 0) & (np.minimum(x1, x2) <= px) & (px <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= py) & (py <= np.maximum(y1, y2))
+        up = (y1 <= py) != (y2 <= py)
+        left = np.where(y2 > y1, cross > 0, cross < 0)
+        odd = (up & left).sum(1) % 2 == 1
+        out[at : at + step] = np.where(on.any(1), 0, np.where(odd, 1, -1))
+    return out
+
+
+def positions(x: np.ndarray, y: np.ndarray, g) -> np.ndarray:
+    """point_position of many points."""
+    best = np.full(len(x), -1, dtype=np.int8)
+    for poly in _polygons(g):
+        at = _in_rings(x, y, poly[0])
+        for hole in poly[1:]:
+            h = _in_rings(x, y, hole)
+            at = np.where((at == 1) & (h >= 0), np.where(h == 0, 0, -1), at)
+        best = np.maximum(best, at)
+    return best
+
+
+def _distances(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of many points to each of some edges."""
+    d = s[:, 2:] - s[:, :2]
+    n = np.maximum((d * d).sum(1), 1e-300)
+    t = np.clip(((x[:, None] - s[:, 0]) * d[:, 0] + (y[:, None] - s[:, 1]) * d[:, 1]) / n, 0, 1)
+    return np.hypot(s[:, 0] + t * d[:, 0] - x[:, None], s[:, 1] + t * d[:, 1] - y[:, None])
+
+
 def _segment_distance(px: float, py: float, s: np.ndarray) -> float:
     d = s[:, 2:] - s[:, :2]
     n = np.maximum((d * d).sum(1), 1e-300)
@@ -360,14 +397,75 @@ def _clip(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return np.asarray([*out, out[0]]) if len(out) > 2 else np.zeros((0, 2))
 
 
+def _edges(polygon: list[np.ndarray]) -> np.ndarray:
+    """Edges of a polygon with its inside on their left."""
+    out = []
+    for i, r in enumerate(polygon):
+        r = r if (_ring_area(r) >= 0) == (i == 0) else r[::-1]
+        out.append(np.hstack([r[:-1], r[1:]]))
+    edges = np.vstack(out)
+    return edges[(edges[:, :2] != edges[:, 2:]).any(1)]
+
+
+def _pieces(edge: np.ndarray, others: np.ndarray, tiny: float) -> np.ndarray:
+    """An edge cut where others meet it."""
+    p, d = edge[:2], edge[2:] - edge[:2]
+    q, e = others[:, :2], others[:, 2:] - others[:, :2]
+    w = q - p
+    size = float(np.hypot(*d))
+    across = d[0] * e[:, 1] - d[1] * e[:, 0]
+    aside = d[0] * w[:, 1] - d[1] * w[:, 0]
+    slanted = np.abs(across) > tiny * np.hypot(e[:, 0], e[:, 1])
+    safe = np.where(slanted, across, 1.0)
+    u = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / safe
+    v = (w[:, 0] * d[1] - w[:, 1] * d[0]) / safe
+    at = u[slanted & (v >= -1e-12) & (v <= 1 + 1e-12)]
+    flat = ~slanted & (np.abs(aside) <= tiny * size)
+    along = lambda x: ((x - p) @ d) / (d @ d)
+    at = np.concatenate([[0.0, 1.0], at, along(q[flat]), along(q[flat] + e[flat])])
+    at = np.unique(np.clip(at, 0.0, 1.0))
+    at = at[np.append(True, np.diff(at) * size > tiny)]
+    at[-1] = 1.0
+    ends = p + at[:, None] * d
+    return np.hstack([ends[:-1], ends[1:]])
+
+
+def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> float:
+    """Area that two polygons of any shape share: the border of what is in both, summed up. It is the
+    edges of each inside the other, and those that both have in one direction, once."""
+    origin = a[0][0]
+    a, b = [r - origin for r in a], [r - origin for r in b]
+    ea, eb = _edges(a), _edges(b)
+    if not len(ea) or not len(eb):
+        return 0.0
+    tiny = 1e-10 * max(1.0, float(np.abs(np.vstack([ea, eb])).max()))
+    total = 0.0
+    for edges, others, other, first in ((ea, eb, b, True), (eb, ea, a, False)):
+        g = ("Polygon", "", other)
+        for edge in edges:
+            for x1, y1, x2, y2 in _pieces(edge, others, tiny):
+                x, y = (x1 + x2) / 2, (y1 + y2) / 2
+                near = _distances(np.array([x]), np.array([y]), others)[0]
+                k = int(near.argmin())
+                if near[k] <= tiny * 10:
+                    same = (x2 - x1) * (others[k, 2] - others[k, 0]) + (y2 - y1) * (others[k, 3] - others[k, 1]) > 0
+                    inside = first and same
+                else:
+                    inside = positions(np.array([x]), np.array([y]), g)[0] == 1
+                if inside:
+                    total += 0.5 * (x1 * y2 - x2 * y1)
+    return max(0.0, float(total))
+
+
 def intersection_area(a, b) -> float:
     total = 0.0
     for p in _polygons(a):
         for q in _polygons(b):
             x, y = (p, q) if len(q) == 1 and _is_convex(q[0]) else (q, p)
-            if len(y) != 1 or not _is_convex(y[0]):
-                raise GeoProblem("neither polygon is convex")
-            total += abs(_ring_area(_clip(x[0], y[0]))) - sum(abs(_ring_area(_clip(h, y[0]))) for h in x[1:])
+            if len(y) == 1 and _is_convex(y[0]):
+                total += abs(_ring_area(_clip(x[0], y[0]))) - sum(abs(_ring_area(_clip(h, y[0]))) for h in x[1:])
+            else:
+                total += _overlap(p, q)
     return total
 
 
@@ -418,38 +516,80 @@ def st_normalize(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(BOX)
 def st_bbox(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in it:
-        rows = [(None,) * 4 if v is None else bounds(decode(v)) or (None,) * 4 for v in s]
-        yield pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
+        plain, xy = _plain_points(s)
+        out = np.full((len(s), 4), np.nan)
+        out[plain] = np.hstack([xy, xy])
+        for i in np.flatnonzero(~plain):
+            if s.iloc[i] is not None:
+                out[i] = bounds(decode(s.iloc[i])) or (np.nan,) * 4
+        rows = pd.DataFrame(out, columns=["xmin", "ymin", "xmax", "ymax"])
+        yield rows.astype(object).where(rows.notna(), None).astype("float64")
+
+
+_POINT = struct.pack("<BI", 1, 1)
 
 
-def _two(f, empty=None):
+def _plain_points(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are points of two coordinates, little end first, and their coordinates."""
+    plain = np.fromiter((v is not None and len(v) == 21 and bytes(v[:5]) == _POINT for v in s), dtype=bool, count=len(s))
+    data = b"".join(bytes(v) for v in s[plain])
+    return plain, np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(-1, 21)[:, 5:]).view("<f8").reshape(-1, 2)
+
+
+def _two(f, of_points=None):
+    """A function of two geometries over batches. of_points(x, y, area, area first): its values for many
+    points and one geometry of areas alone."""
+
     def run(it):
         for a, b in it:
+            out: list = [None] * len(a)
             seen: dict[bytes, tuple] = {}
 
             def g(v):
+                v = bytes(v)
                 if v not in seen:
                     seen[v] = decode(v)
                 return seen[v]
 
-            yield pd.Series([empty if x is None or y is None else f(g(bytes(x)), g(bytes(y))) for x, y in zip(a, b)])
+            left = np.fromiter((x is not None and y is not None for x, y in zip(a, b)), dtype=bool, count=len(a))
+            if of_points:
+                for points, areas, area_first in ((b, a, True), (a, b, False)):
+                    plain, xy = _plain_points(points.where(left, None))
+                    of_area: dict[bytes, list[int]] = {}
+                    for k, i in enumerate(np.flatnonzero(plain)):
+                        of_area.setdefault(bytes(areas.iloc[i]), []).append((k, i))
+                    for wkb, members in of_area.items():
+                        if g(wkb)[0] in ("Polygon", "MultiPolygon"):
+                            at, rows = map(list, zip(*members))
+                            for i, v in zip(rows, of_points(xy[at, 0], xy[at, 1], g(wkb), area_first).tolist()):
+                                out[i] = v
+                            left[rows] = False
+            for i in np.flatnonzero(left):
+                out[i] = f(g(a.iloc[i]), g(b.iloc[i]))
+            yield pd.Series(out, index=a.index, dtype=object)
 
     return run
 
 
+def _point_distances(x, y, area, area_first):
+    edges = _segments(area)
+    far = np.concatenate([_distances(x[i : i + 4096], y[i : i + 4096], edges).min(1) for i in range(0, len(x), 4096)])
+    return np.where(positions(x, y, area) >= 0, 0.0, far)
+
+
 @F.pandas_udf(T.DoubleType())
 def st_distance(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    return _two(distance)(it)
+    return _two(distance, _point_distances)(it)
 
 
 @F.pandas_udf(T.BooleanType())
 def st_intersects(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    return _two(intersects)(it)
+    return _two(intersects, lambda x, y, area, area_first: positions(x, y, area) >= 0)(it)
 
 
 @F.pandas_udf(T.BooleanType())
 def st_contains(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    return _two(contains)(it)
+    return _two(contains, lambda x, y, area, area_first: (positions(x, y, area) == 1) & area_first)(it)
 
 
 @F.pandas_udf(T.DoubleType())

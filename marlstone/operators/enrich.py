@@ -82,9 +82,9 @@ def _taken(x: Take, layer: Layer) -> Column:
         case "value":  # of several the one with the largest overlap, then the nearest
             return F.max_by(c, F.struct("area", -F.col("distance"), F.xxhash64("lg")))
         case "extensive":
-            return F.sum(c * F.col("area") / F.col("whole"))
+            return F.sum(F.try_divide(c * F.col("area"), F.col("whole")))
         case "intensive":
-            return F.sum(c * F.col("area")) / F.sum("area")
+            return F.try_divide(F.sum(c * F.col("area")), F.sum("area"))  # null where all only touch
         case "sum" | "avg" | "min" | "max":
             return getattr(F, x.method)(c)
     raise ValueError(f"no method {x.method!r}")

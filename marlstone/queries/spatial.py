@@ -33,17 +33,12 @@ def measures(spark, d):
     return b.select("r_regionkey", geo.st_area("g").alias("area"), geo.st_astext("g").alias("wkt"), F.col("b.xmin").alias("xmin"), F.col("b.xmax").alias("xmax"))
 
 
-@query("geo_distance", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t where c_custkey <= 200")
-def distance(spark, d, only="c_custkey <= 200"):
-    p = _points(spark, d).filter(only).withColumn("o", geo.st_point(F.lit(0.0), F.lit(0.0)))
+@query("geo_distance", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t")
+def distance(spark, d):
+    p = _points(spark, d).withColumn("o", geo.st_point(F.lit(0.0), F.lit(0.0)))
     return p.select("c_custkey", F.round(geo.st_distance("g", "o"), 9).alias("dist"))
 
 
-@query("geo_distance_whole", "select c_custkey, round(sqrt(px * px + py * py), 9) as dist from " + _PT + " t")
-def distance_whole(spark, d):
-    return distance(spark, d, "true")
-
-
 @query("geo_box_intersects", "select c_custkey from " + _PT + " t where px between 10 and 30 and py between 5 and 20")
 def box(spark, d):
     """Points in a box: plain comparisons first, which files can skip by, then the exact predicate."""
@@ -63,35 +58,71 @@ def contains(spark, d):
     return enrich(_boxes(spark, d).select("r_regionkey", "g"), "r_regionkey", "g", [Layer(pts, "g", "contains", (Take("n", "count"), Take("s", "sum", "c_custkey")))], 10.0).select("r_regionkey", "n", "s")
 
 
-@query("enrich_around", f"select r_regionkey, count(c_custkey) as n from {_BX} b left join (select * from {_PT} t where c_custkey <= 300) p on greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2 <= 25 group by r_regionkey")
-def around(spark, d, only="c_custkey <= 300"):
-    pts = _points(spark, d).filter(only).select("c_custkey", "g")
+@query("enrich_around", f"select r_regionkey, count(c_custkey) as n from {_BX} b left join {_PT} p on greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2 <= 25 group by r_regionkey")
+def around(spark, d):
+    pts = _points(spark, d).select("c_custkey", "g")
     return enrich(_boxes(spark, d).select("r_regionkey", "g"), "r_regionkey", "g", [Layer(pts, "g", "intersects", (Take("n", "count"),), around=5.0)], 10.0).select("r_regionkey", "n")
 
 
-@query("enrich_around_whole", f"select r_regionkey, count(c_custkey) as n from {_BX} b left join {_PT} p on greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2 <= 25 group by r_regionkey")
-def around_whole(spark, d):
-    return around(spark, d, "true")
-
-
-@query("enrich_nearest", f"select c_custkey, min(dist) as dist from (select c_custkey, round(sqrt(greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2), 9) as dist from (select * from {_PT} t where c_custkey <= 300) p, {_BX} b) q where dist <= 8 group by 1")
-def nearest(spark, d, only="c_custkey <= 300"):
+@query("enrich_nearest", f"select c_custkey, min(dist) as dist from (select c_custkey, round(sqrt(greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2), 9) as dist from {_PT} p, {_BX} b) q where dist <= 8 group by 1")
+def nearest(spark, d):
     layer = Layer(_boxes(spark, d), "g", "nearest", (Take("dist", "distance"),), k=1, max_distance=8.0)
-    got = enrich(_points(spark, d).filter(only).select("c_custkey", "g"), "c_custkey", "g", [layer], 10.0)
+    got = enrich(_points(spark, d).select("c_custkey", "g"), "c_custkey", "g", [layer], 10.0)
     return got.filter("dist is not null").select("c_custkey", F.round("dist", 9).alias("dist"))
 
 
-@query("enrich_nearest_whole", f"select c_custkey, min(dist) as dist from (select c_custkey, round(sqrt(greatest(bx - px, 0, px - bx - 10) ** 2 + greatest(-py, 0, py - 10) ** 2), 9) as dist from {_PT} p, {_BX} b) q where dist <= 8 group by 1")
-def nearest_whole(spark, d):
-    return nearest(spark, d, "true")
+_STRIP = "(select n_nationkey as k, cast(n_nationkey * 3 as double) as sx, cast(4 + n_regionkey as double) as w from nation)"
 
 
-@query("enrich_areal", "select k, k + 1.5::double as extensive, k + 1.5::double as intensive from (values (0), (1), (2), (3)) t(k)")
+@query(
+    "enrich_areal",
+    f"""select k, round(sum(v * part / 10), 9) as extensive, round(sum(v * part) / sum(part), 9) as intensive from {_STRIP} s
+    left join (select *, 10.0::double as side from {_BX} b) b on sx < bx + side and sx + w > bx
+    left join lateral (select least(sx + w, bx + side) - greatest(sx, bx) as part) x on true group by k""",
+)
 def areal(spark, d):
-    """A strip over halves of two neighbouring boxes takes half of each total, and their mean."""
-    strips = spark.sql("select k, concat('POLYGON ((', k * 20 + 5, ' 0, ', k * 20 + 25, ' 0, ', k * 20 + 25, ' 10, ', k * 20 + 5, ' 10, ', k * 20 + 5, ' 0))') as t from (select cast(id as int) as k from range(4))").select("k", geo.st_geomfromtext("t").alias("g"))
+    """Strips over the boxes take their share of each total, and the mean weighed by what they cover."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 3.0).alias("x"), (F.lit(4.0) + F.col("n_regionkey")).alias("w"))
+    text = F.format_string("POLYGON ((%f 0, %f 0, %f 10, %f 10, %f 0))", "x", F.col("x") + F.col("w"), F.col("x") + F.col("w"), "x", "x")
     layer = Layer(_boxes(spark, d), "g", "intersects", (Take("extensive", "extensive", "v"), Take("intensive", "intensive", "v")))
-    return enrich(strips, "k", "g", [layer], 10.0).select("k", F.round("extensive", 9).alias("extensive"), F.round("intensive", 9).alias("intensive"))
+    got = enrich(n.select("k", geo.st_geomfromtext(text).alias("g")), "k", "g", [layer], 10.0)
+    met = F.col("extensive") > 0  # a strip that only touches a box has no part of it
+    return got.select("k", F.round(F.when(met, F.col("extensive")), 9).alias("extensive"), F.round(F.when(met, F.col("intensive")), 9).alias("intensive"))
+
+
+@query(
+    "geo_hilbert_cells",
+    """with recursive c as (
+      select c_custkey, cast(floor((c_custkey % 100 + 180.0) / 360 * 65536) as bigint) as x, cast(floor((c_nationkey * 2 + 90.0) / 180 * 65536) as bigint) as y from customer
+    ), h(c_custkey, x, y, s, d) as (
+      select c_custkey, x, y, 32768::bigint, 0::bigint from c
+      union all
+      select c_custkey,
+        case when ry = 0 then case when rx = 1 then s - 1 - (y & (s - 1)) else y & (s - 1) end else x & (s - 1) end,
+        case when ry = 0 then case when rx = 1 then s - 1 - (x & (s - 1)) else x & (s - 1) end else y & (s - 1) end,
+        s // 2, d + s * s * xor(3 * rx, ry)
+      from (select *, case when (x & s) > 0 then 1::bigint else 0 end as rx, case when (y & s) > 0 then 1::bigint else 0 end as ry from h where s > 0) q
+    ) select c_custkey, d as cell from h where s = 0""",
+)
+def hilbert_cells(spark, d):
+    """Each customer's place on the curve."""
+    return _points(spark, d).select("c_custkey", geo.hilbert_cell("x", "y").alias("cell"))
+
+
+@query(
+    "geo_concave_overlap",
+    f"select k, round(sum(case when part <= 0 then 0 else part * 10 - (greatest(0, least(sx + w, bx + 7) - greatest(sx, bx + 3))) * 6 end), 9) as overlap from {_STRIP} s join {_BX} b on sx < bx + 10 and sx + w > bx join lateral (select least(sx + w, bx + 10) - greatest(sx, bx) as part) x on true group by k",
+)
+def concave(spark, d):
+    """Strips that stand on two feet over the boxes with a notch: both are concave."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 3.0).alias("x"), (F.lit(4.0) + F.col("n_regionkey")).alias("w"))
+    e = F.col("x") + F.col("w")
+    # feet below the boxes' lower side, so that the overlap is the strip's
+    strip = F.format_string("POLYGON ((%f -5, %f -5, %f -1, %f -1, %f -5, %f -5, %f 10, %f 10, %f -5))", "x", F.col("x") + 1, F.col("x") + 1, e - 1, e - 1, e, e, "x", "x")
+    r = table(spark, d, "region").withColumn("b", F.col("r_regionkey") * 20.0)
+    notched = F.format_string("POLYGON ((%f 0, %f 0, %f 10, %f 10, %f 4, %f 4, %f 10, %f 10, %f 0))", "b", F.col("b") + 10, F.col("b") + 10, F.col("b") + 7, F.col("b") + 7, F.col("b") + 3, F.col("b") + 3, "b", "b")
+    met = n.withColumn("sg", geo.st_geomfromtext(strip)).join(F.broadcast(r.select("b", geo.st_geomfromtext(notched).alias("bg"))), (F.col("x") < F.col("b") + 10) & (e > F.col("b")))  # five regions
+    return met.groupBy("k").agg(F.round(F.sum(geo.st_intersection_area("sg", "bg")), 9).alias("overlap"))
 
 
 @query("geo_pyramid", "select z as zoom, cast(floor((px + 180) / 360 * 2 ** z * 32) as bigint) as cx, cast(floor((90 - py) / 180 * 2 ** z * 32) as bigint) as cy, count(*) as n from " + _PT + " t, (values (4), (3), (2)) l(z) group by all")
@@ -122,19 +153,14 @@ def tile_index(spark, d):
 
 
 @query("geo_vector_tile", "select true as has_bytes, true as repeatable, true as empty_elsewhere")
-def vector_tile(spark, d, only="c_custkey <= 300"):
+def vector_tile(spark, d):
     from ..operators.tiles import tile_bytes
 
-    p = _points(spark, d).filter(only).select("c_custkey", "g")
+    p = _points(spark, d).select("c_custkey", "g")
     one, two, none = (tile_bytes(x, "g", "c_custkey", "customers", 1, i, 0) for x, i in ((p, 1), (p.repartition(3), 1), (p, 0)))
     return spark.createDataFrame([(len(one) > 0, one == two, none == b"" or len(none) < len(one))], "has_bytes boolean, repeatable boolean, empty_elsewhere boolean")
 
 
-@query("geo_vector_tile_whole", "select true as has_bytes, true as repeatable, true as empty_elsewhere")
-def vector_tile_whole(spark, d):
-    return vector_tile(spark, d, "true")
-
-
 @query("geo_left_join", f"select c_custkey, r_regionkey from {_PT} p left join {_BX} b on {_IN}")
 def left_join(spark, d):
     from ..operators.tiles import spatial_left_join

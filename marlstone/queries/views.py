@@ -233,13 +233,19 @@ def delta_weights(spark, d):
     return consolidate(delta).withColumnRenamed(WEIGHT, "weight")
 
 
-@query("delta_from_upserts", "select 'old' as side, n_nationkey, n_name, -1 as w from nation where n_nationkey < 3 union all select 'new', n_nationkey, upper(n_name) || '!', 1 from nation where n_nationkey < 2")
+@query(
+    "delta_from_upserts",
+    """select 'old' as side, c_custkey, c_mktsegment, -1 as w from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')
+    union all select 'new', c_custkey, c_mktsegment || '!', 1 from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F') and c_acctbal >= 0""",
+)
 def upserts(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    changes = n.filter("n_nationkey < 3").select("n_nationkey", F.concat(F.upper("n_name"), F.lit("!")).alias("n_name"), F.lit(2).alias("seq"), (F.col("n_nationkey") == 2).alias("gone"))
-    older = n.filter("n_nationkey < 3").select("n_nationkey", F.lit("stale").alias("n_name"), F.lit(1).alias("seq"), F.lit(False).alias("gone"))
-    delta = from_upserts(changes.unionByName(older), n, ["n_nationkey"], "seq", "gone")
-    return delta.select(F.when(F.col(WEIGHT) < 0, "old").otherwise("new").alias("side"), "n_nationkey", "n_name", F.col(WEIGHT).cast("int").alias("w"))
+    """A change log of the customers with a filled order; those in debt are deleted in it."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    logged = table(spark, d, "customer").join(table(spark, d, "orders").filter("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    changes = logged.select("c_custkey", F.concat("c_mktsegment", F.lit("!")).alias("c_mktsegment"), F.lit(2).alias("seq"), (F.col("c_acctbal") < 0).alias("gone"))
+    older = logged.select("c_custkey", F.lit("stale").alias("c_mktsegment"), F.lit(1).alias("seq"), F.lit(False).alias("gone"))
+    delta = from_upserts(changes.unionByName(older), c, ["c_custkey"], "seq", "gone")
+    return delta.select(F.when(F.col(WEIGHT) < 0, "old").otherwise("new").alias("side"), "c_custkey", "c_mktsegment", F.col(WEIGHT).cast("int").alias("w"))
 
 
 @query("state_store_protocol", "select * from (values (1,'miss'), (2,'filling'), (3,'buffered'), (4,'filled'), (5,'hit 3'), (6,'stale'), (7,'applied'), (8,'absent'), (9,'refused')) t(step, outcome)")

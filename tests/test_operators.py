@@ -1,6 +1,7 @@
 """Executed operators on small frames: deltas, joins, geometry, contracts, files, promises, streams."""
 
 import datetime as dt
+import math
 import random
 from decimal import Decimal
 
@@ -467,3 +468,47 @@ def test_a_stream_whose_sink_fails_is_applied_once(spark, tmp_path):
         except Exception as e:
             assert "sink" in str(e)
     assert seen == [(0, [("x", 2, 1), ("y", 1, 1)])]
+
+
+def test_overlap_of_concave_polygons_equals_counted_cells():
+    """Polygons of unit cells, whose shared cells can be counted, and the same ones turned."""
+    rng = random.Random(9)
+
+    def comb(n):  # a bar with teeth of random heights, as a ring and as its cells
+        tops = [rng.randrange(1, 6) for _ in range(n)]
+        x0, y0 = rng.randrange(4), rng.randrange(3)
+        ring = [(x0, y0), (x0 + n, y0)]
+        for i in reversed(range(n)):
+            ring += [(x0 + i + 1, y0 + tops[i]), (x0 + i, y0 + tops[i])]
+        return [*ring, ring[0]], {(x0 + i, y0 + j) for i in range(n) for j in range(tops[i])}
+
+    for _ in range(60):
+        (a, ca), (b, cb) = comb(rng.randrange(1, 7)), comb(rng.randrange(1, 7))
+        for turn in (0.0, 0.3):
+            c, s = math.cos(turn), math.sin(turn)
+            pa, pb = (np.array([(x * c - y * s, x * s + y * c) for x, y in r]) for r in (a, b))
+            assert geo._overlap([pa], [pb]) == pytest.approx(len(ca & cb), abs=1e-6)
+            assert geo.intersection_area(("Polygon", "", [pa.tolist()]), ("Polygon", "", [pb[::-1].tolist()])) == pytest.approx(len(ca & cb), abs=1e-6)
+
+
+def test_overlap_with_holes():
+    box = lambda x, y, n: np.array([(x, y), (x + n, y), (x + n, y + n), (x, y + n), (x, y)], dtype=float)
+    frame = [box(0, 0, 10), box(2, 2, 6)]
+    assert geo._overlap(frame, [box(0, 0, 10), box(3, 3, 4)]) == pytest.approx(64.0)
+    assert geo._overlap(frame, frame) == pytest.approx(64.0)
+    assert geo._overlap(frame, [box(3, 3, 2)]) == 0.0 and geo._overlap(frame, [box(20, 0, 3)]) == 0.0
+
+
+def test_batches_of_points_equal_one_by_one(spark):
+    rng = random.Random(1)
+    areas = ["POLYGON ((0 0, 10 0, 10 10, 5 4, 0 10, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))", "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0)), ((6 6, 9 6, 9 9, 6 9, 6 6)))", "LINESTRING (0 0, 10 10)"]
+    rows = [(rng.choice(areas), float(rng.randrange(11)), float(rng.randrange(11))) for _ in range(300)] + [(None, 1.0, 1.0), (areas[0], None, 1.0)]
+    df = spark.createDataFrame(rows, "t string, x double, y double").select(geo.st_geomfromtext("t").alias("a"), geo.st_point("x", "y").alias("p"))
+    got = df.select("a", "p", geo.st_contains("a", "p"), geo.st_contains("p", "a"), geo.st_intersects("p", "a"), geo.st_intersects("a", "p"), geo.st_distance("p", "a"), geo.st_bbox("p")).collect()
+    for a, p, *values, box in got:
+        if a is None or p is None:
+            assert values == [None] * 5
+            continue
+        a, p = geo.decode(a), geo.decode(p)
+        want = [geo.contains(a, p), geo.contains(p, a), geo.intersects(p, a), geo.intersects(a, p)]
+        assert values[:4] == want and values[4] == pytest.approx(geo.distance(p, a)) and tuple(box) == geo.bounds(p)
