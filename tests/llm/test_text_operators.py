@@ -409,3 +409,9 @@ def test_mix_of_rows_alike_equals_sql(spark, monkeypatch):
     rows = [(None, "a b c", "s")] * 50 + [(4, "one two", "s")] * 30 + [(i, "w " * (i % 9), "t" if i % 2 else None) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert rows_of(mixing.mix(docs)) == duck({"documents": docs}, oracle_sql()["op2_mix_sources"])
+
+
+def test_a_text_that_does_not_come_back_says_so(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a\u2581b")], "doc_id long, text string")
+    got = {(r["doc_id"], r["round_trip"]) for r in segmentation.sample_segmentations(df).collect()}
+    assert got == {(1, True), (2, False)}
