@@ -366,7 +366,7 @@ def brute_score(model, text):
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def labelled(spark):
+def spelled(spark):
     """Clean and toxic texts: bad words in several spellings, one of them clean in a fixed phrase."""
     rng = np.random.default_rng(11)
     plain, bad = [f"word{chr(97 + i)}{chr(97 + i % 7)}" for i in range(26)], ["zorkel", "z0rkel", "blarging", "BLARGED", "grumpf", "grümpf"]
@@ -384,7 +384,7 @@ def labelled(spark):
 
 
 def test_scores_equal_brute_force_over_all_entries(spark):
-    docs, labels = labelled(spark)
+    docs, labels = spelled(spark)
     model = toxicity.learn(docs, labels)
     assert len(model.entries) >= 2 and model.exceptions and model.base is None
     got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
@@ -395,7 +395,7 @@ def test_scores_equal_brute_force_over_all_entries(spark):
 
 
 def test_learning_does_not_hang_on_the_order_of_rows_or_on_repeats(spark):
-    docs, labels = labelled(spark)
+    docs, labels = spelled(spark)
     again = docs.unionAll(docs.limit(50)).unionAll(docs.limit(50).selectExpr("doc_id", "'a' as text"))
     a, b = toxicity.learn(docs, labels), toxicity.learn(again.repartition(5), labels.repartition(3))
     assert a.entries == b.entries and a.exceptions == b.exceptions and a.coef == pytest.approx(b.coef, abs=1e-9)
