@@ -24,6 +24,7 @@ from ..plans import ir
 from ..plans.compile import column
 from ..plans.refresh import analyze
 from ..plans.schema import schema_of
+from ..session import released_at_end
 
 WEIGHT = "__weight"
 BUCKET = "__bucket"
@@ -37,8 +38,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/marlstone"
 
 
+_own: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, deleted when it ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/{app}-states"
+    if _own.get(app) != path:
+        released_at_end(spark, path)
+        _own[app] = path
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/state-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{own_folder(df.sparkSession)}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,7 +117,7 @@ class Circuit:
         if not mode.incremental:
             raise ValueError("no incremental form: " + "; ".join(mode.reasons))
         self.spark, self.plan = spark, plan
-        self.folder = folder or f"{shared_folder(spark)}/circuit-{uuid.uuid4().hex}"
+        self.folder = folder or f"{own_folder(spark)}/circuit-{uuid.uuid4().hex}"
         self.store = Store(spark, self.folder)
         self.state: dict[str, list[str]] = {}  # tables, by place in the plan
         self.steps, self.batch, self.out = 0, None, ""

@@ -6,14 +6,14 @@ from __future__ import annotations
 import uuid
 
 from ..catalog.engine import Engine
-from ..operators.delta import shared_folder
+from ..operators.delta import own_folder
 from ..session import table
 from . import query
 
 
 def _lake(spark, d, *tables) -> Engine:
     """A fresh lake with the named tables as datasets of database sales."""
-    e = Engine(spark, f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}", "sales")
+    e = Engine(spark, f"{own_folder(spark)}/lake-{uuid.uuid4().hex}", "sales")
     for name in tables:
         table(spark, d, name).createOrReplaceTempView(f"src_{name}")
         e.execute(f"create dataset {name} as select * from src_{name}")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import types as ty
-from ..operators.delta import shared_folder
+from ..operators.delta import own_folder
 from ..operators.derive import derive_items
 from ..quality import operations as ops
 from ..quality import promises as pr
@@ -44,7 +44,7 @@ def request_sql(spark, d):
 
 
 def _folder(spark):
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("source_csv_rescue", "select cast(n_nationkey as bigint) as k, case when n_nationkey % 5 = 0 then null else cast(n_nationkey as bigint) end as v, case when n_nationkey % 5 = 0 then '{\"v\":\"bad' || n_nationkey || '\"}' end as _rescued_data from nation")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.delta import Circuit, consolidate, rows_of, shared_folder
+from ..operators.delta import Circuit, consolidate, rows_of, own_folder
 from ..plans import ir
 from ..session import table
 from ..streaming import streams
@@ -38,7 +38,7 @@ def session(spark, d):
 
 def _stream(spark, d):
     """Events as a file stream in three batches."""
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, d, "events")
     for i in range(3):
         e.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(path)

@@ -32,3 +32,11 @@ def build_session(cpus: int | str = "*", app: str = "marlstone", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the reader sees only the columns a plan asks for."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def released_at_end(spark: SparkSession, path: str) -> None:
+    """Make a folder that is deleted when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)

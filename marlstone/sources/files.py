@@ -105,13 +105,13 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jdbc(spark: SparkSession, url: str, request, dialect: str, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
-    """A request to a database, run there. partition: numeric column, low, high, number of readers."""
+    """A request to a database, run there: its filters, order and limit are in the text that is sent.
+    partition: numeric column, low, high, number of readers. What to connect with (driver, user) are
+    options; any database with a JDBC driver and one of the dialects will do."""
     from .request import Request, to_sql
 
     assert isinstance(request, Request)
-    text, values = to_sql(request, dialect)
-    if values:
-        raise ValueError("JDBC takes no bound values here: filter the DataFrame, Spark pushes it down")
+    text, _ = to_sql(request, dialect, inline=True)
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     if partition:
         col, low, high, n = partition

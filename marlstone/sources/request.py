@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -147,12 +150,43 @@ DIALECTS = {
     "mysql": ("`{}`", "?", True, "limit"),
     "oracle": ('"{}"', ":{}", True, "fetch"),
     "bigquery": ("`{}`", "@p{}", False, "limit"),
+    "clickhouse": ("`{}`", "?", True, "limit"),
+    "phoenix": ('"{}"', "?", True, "limit"),
+    "derby": ('"{}"', "?", False, "fetch"),
     "spark": ("`{}`", "?", False, "limit"),
 }
 
 
-def to_sql(r: Request, dialect: str) -> tuple[str, list]:
-    """Text with placeholders, and the values for them."""
+def literal(value: object, dialect: str) -> str:
+    """A value as the dialect writes it. Text is quoted, and in dialects that read backslashes in text
+    these are doubled too."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return ("1" if value else "0") if dialect == "oracle" else str(value).upper()
+    if isinstance(value, (int, Decimal)):
+        return str(value)
+    if isinstance(value, float):
+        if not math.isfinite(value):
+            raise RequestProblem(f"{value} has no literal")
+        return repr(value) if dialect != "derby" else f"CAST({value!r} AS DOUBLE)"
+    if isinstance(value, dt.datetime):
+        text = value.isoformat(" ", "microseconds" if value.microsecond else "seconds")
+        return f"toDateTime64('{text}', 6)" if dialect == "clickhouse" else f"TIMESTAMP('{text}')" if dialect == "derby" else f"TIMESTAMP '{text}'"
+    if isinstance(value, dt.date):
+        return f"toDate('{value}')" if dialect == "clickhouse" else f"TO_DATE('{value}', 'yyyy-MM-dd')" if dialect == "phoenix" else f"DATE('{value}')" if dialect == "derby" else f"DATE '{value}'"
+    if isinstance(value, str):
+        if "\0" in value:
+            raise RequestProblem("text with a zero character")
+        if dialect in ("mysql", "bigquery", "clickhouse", "spark"):
+            value = value.replace("\\", "\\\\")
+            return "'" + value.replace("'", "\\'" if dialect in ("bigquery", "spark") else "''") + "'"
+        return "'" + value.replace("'", "''") + "'"
+    raise RequestProblem(f"{type(value).__name__} has no literal")
+
+
+def to_sql(r: Request, dialect: str, inline: bool = False) -> tuple[str, list]:
+    """Text with placeholders, and the values for them; inline: with literals instead, and no values."""
     if dialect not in DIALECTS:
         raise RequestProblem(f"no dialect {dialect}")
     quote, mark, tuples, how = DIALECTS[dialect]
@@ -161,6 +195,8 @@ def to_sql(r: Request, dialect: str) -> tuple[str, list]:
     values: list = []
 
     def put(v) -> str:
+        if inline:
+            return literal(v, dialect)
         values.append(v)
         return mark.format(len(values))
 
@@ -169,7 +205,7 @@ def to_sql(r: Request, dialect: str) -> tuple[str, list]:
     for w in r.where:
         c = ident(w.column)
         if w.op == "in":
-            parts.append(f"{c} IN ({', '.join(put(v) for v in w.value)})" if w.value else ("FALSE" if dialect != "oracle" else "1 = 0"))
+            parts.append(f"{c} IN ({', '.join(put(v) for v in w.value)})" if w.value else ("1 = 0" if dialect in ("oracle", "derby", "phoenix") else "FALSE"))
         elif w.op in ("isNull", "isNotNull"):
             parts.append(f"{c} IS {'NOT ' * (w.op == 'isNotNull')}NULL")
         else:

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 from decimal import Decimal
 
 import numpy as np
@@ -512,3 +513,51 @@ def test_batches_of_points_equal_one_by_one(spark):
         a, p = geo.decode(a), geo.decode(p)
         want = [geo.contains(a, p), geo.contains(p, a), geo.intersects(p, a), geo.intersects(a, p)]
         assert values[:4] == want and values[4] == pytest.approx(geo.distance(p, a)) and tuple(box) == geo.bounds(p)
+
+
+def test_what_an_application_keeps_goes_when_it_ends(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from marlstone.session import build_session
+from marlstone.operators.delta import stored
+spark = build_session(1, **{{"spark__checkpoint__dir": "file://{tmp_path}/shared"}})
+assert stored(spark.range(3)).count() == 3
+import os
+assert any(n.endswith("-states") for n in os.listdir("{tmp_path}/shared"))
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1], capture_output=True)
+    left = lambda: [p for p in (tmp_path / "shared").iterdir() if p.name.endswith("-states")]
+    deadline = time.monotonic() + 20
+    while left() and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not left()
+
+
+def test_a_request_runs_in_a_database(spark):
+    pytest.importorskip("pyspark")
+    url = "jdbc:derby:memory:requests;create=true"
+    rows = [(i, f"it's {i}\\", i * 0.5, dt.date(2024, 1, 1 + i), None if i == 3 else "x") for i in range(9)]
+    spark.createDataFrame(rows, "k int, name string, v double, d date, n string").write.format("jdbc").option("url", url).option("driver", "org.apache.derby.jdbc.EmbeddedDriver").option("dbtable", "T").option("createTableColumnTypes", "name VARCHAR(64)").mode("overwrite").save()
+    ask = lambda *where, **more: [r[0] for r in files.read_jdbc(spark, url, rq.Request("T", (("k", "k"),), tuple(rq.Where(*w) for w in where), **more), "derby", driver="org.apache.derby.jdbc.EmbeddedDriver").collect()]
+    assert sorted(ask(("k", "ge", 6))) == [6, 7, 8] and sorted(ask(("v", "lt", 1.0), ("k", "neq", 0))) == [1]
+    assert ask(("name", "eq", "it's 4\\")) == [4] and ask(("n", "isNull")) == [3] and ask(("k", "in", [])) == []
+    assert sorted(ask(("d", "le", dt.date(2024, 1, 2)))) == [0, 1]
+    assert ask(order_by=(("k", "desc"),), limit=2) == [8, 7]
+    assert sorted(ask(keys=({"k": 1, "name": "it's 1\\"}, {"k": 2, "name": "no"}))) == [1]
+
+
+@pytest.mark.parametrize(
+    "dialect, value, text",
+    [
+        ("postgres", "a'b\\", "'a''b\\'"), ("mysql", "a'b\\", "'a''b\\\\'"), ("bigquery", "a'b", "'a\\'b'"), ("oracle", True, "1"), ("spark", None, "NULL"), ("clickhouse", dt.date(2024, 1, 2), "toDate('2024-01-02')"),
+        ("postgres", dt.datetime(2024, 1, 2, 3, 4, 5), "TIMESTAMP '2024-01-02 03:04:05'"), ("phoenix", Decimal("1.50"), "1.50"),
+    ],
+)
+def test_literals(dialect, value, text):
+    assert rq.literal(value, dialect) == text
+    with pytest.raises(rq.RequestProblem):
+        rq.literal(float("nan"), dialect)
