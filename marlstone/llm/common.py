@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import released_at_end
+
 #: White space of every word and normalisation rule here: space and \t \n \v \f \r, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -39,8 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: set[str] = set()
+
+
 def _own_cuts(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one; it goes when the driver ends, if not before."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        released_at_end(spark, path)
+        _made.add(path)
+    return path
 
 
 def release(spark: SparkSession) -> None:
