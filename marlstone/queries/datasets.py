@@ -177,3 +177,44 @@ def changes_feed(spark, d):
     e.execute("insert into nation (n_nationkey) values (100)")
     got = e.dataset("nation").changes(since)
     return got.selectExpr("n_nationkey", "cast(__weight as int) as weight")
+
+
+@query("sql_databases_and_drops", "select n_nationkey as id, n_name as name, r_name from nation join region on n_regionkey = r_regionkey")
+def databases_and_drops(spark, d):
+    """Names of three parts over two databases; what was dropped can be made anew."""
+    e = _lake(spark, d, "nation", "region")
+    for text in (
+        "create database geo", "create schema geo.world", "create dataset geo.world.lands as select 1 as x", "drop dataset geo.world.lands",
+        "create dataset geo.world.lands as select n_nationkey as id, n_name as name, n_regionkey as region from nation", "drop dataset if exists none", "drop dataset nation",
+    ):
+        e.execute(text)
+    return e.query("select l.id, l.name, r.r_name from geo.world.lands l join sales.default.region r on l.region = r.r_regionkey")
+
+
+@query("sql_time_types", "select o_orderkey, cast(o_orderdate as timestamp) as at, cast(o_orderdate as date) as day, cast(extract(year from o_orderdate) as integer) as y, cast(o_orderdate as date) + interval 3 month as later from orders")
+def time_types(spark, d):
+    e = _lake(spark, d, "orders")
+    e.execute("create dataset t (k bigint not null, at timestamp, day date)")
+    e.execute("insert into t select o_orderkey, cast(o_orderdate as timestamp_ntz), cast(o_orderdate as date) from orders")
+    return e.query("select k as o_orderkey, at, day, extract(year from at) as y, cast(day + interval 3 month as timestamp_ntz) as later from t")
+
+
+@query("sql_now_is_fixed", "select count(*) as n, true as same from orders")
+def now_is_fixed(spark, d):
+    """All rows of a statement see one instant."""
+    e = _lake(spark, d, "orders")
+    return e.query("select count(*) as n, min(t) = max(t) as same from (select now() as t from orders) q")
+
+
+@query("sql_whole_division", "select o_orderkey, o_orderkey // 7 as q, o_orderkey % 7 as r, o_orderkey / 2 as half from orders")
+def whole_division(spark, d):
+    """Division by zero is an error; between whole numbers div is whole and / is not."""
+    e = _lake(spark, d, "orders")
+    try:
+        e.query("select 1 div (o_orderkey - o_orderkey) as x from orders").collect()
+    except Exception as problem:
+        if "DIVIDE_BY_ZERO" not in str(problem):
+            raise
+    else:
+        raise AssertionError("division by zero gave a value")
+    return e.query("select o_orderkey, o_orderkey div 7 as q, o_orderkey % 7 as r, o_orderkey / 2 as half from orders")

@@ -176,3 +176,19 @@ def _kept(spark, df):
     path = _folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@query("gateway_read", "select n_nationkey, n_name from nation where n_regionkey = 1")
+def gateway_read(spark, d):
+    """A small interactive read within its bounds; one that is over them is an error, never cut short."""
+    from ..sources.gateway import Bounds, Gateway, OverBudget
+
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    g = Gateway(spark, tight=Bounds(rows=3))
+    try:
+        g.read("tight", lambda: n)
+    except OverBudget:
+        pass
+    else:
+        raise AssertionError("a read over its bound was answered")
+    return spark.createDataFrame(g.read("wide", lambda: n.filter("n_regionkey = 1").select("n_nationkey", "n_name")))

@@ -24,8 +24,8 @@ PLANS = {
     "alg_empty_sets": ir.Project(CUSTOMER, (("k", C("c_custkey")), ("t", ir.And()), ("f", ir.Or()), ("i", ir.In(C("c_custkey"), ())))),
     "alg_join_inner": JOINED,
     "alg_join_left": ir.Join(CUSTOMER, ir.Filter(ORDERS, ir.Compare("=", C("o_orderstatus"), L("P"))), (("c_custkey", "o_custkey"),), "left"),
-    "alg_join_right": ir.Join(ir.Filter(ORDERS, ir.Compare("<", C("o_orderkey"), L(500))), CUSTOMER, (("o_custkey", "c_custkey"),), "right"),
-    "alg_join_full": ir.Join(ir.Filter(SUPPLIER, ir.Compare("<", C("s_suppkey"), L(40))), ir.Filter(CUSTOMER, ir.Compare("<", C("c_custkey"), L(60))), (("s_nationkey", "c_nationkey"),), "full"),
+    "alg_join_right": ir.Join(ir.Filter(ORDERS, ir.Compare("=", C("o_orderstatus"), L("P"))), CUSTOMER, (("o_custkey", "c_custkey"),), "right"),
+    "alg_join_full": ir.Join(SUPPLIER, CUSTOMER, (("s_suppkey", "c_nationkey"),), "full"),
     "alg_group": ir.Aggregate(JOINED, ("c_mktsegment",), (("n", "count", None), ("total", "sum", "o_totalprice"), ("lo", "min", "o_totalprice"), ("hi", "max", "o_totalprice"), ("mean", "avg", "o_totalprice"))),
     "alg_group_global": ir.Aggregate(ORDERS, (), (("n", "count", None), ("hi", "max", "o_orderkey"))),
     "alg_group_global_no_rows": ir.Aggregate(ir.Filter(ORDERS, ir.Compare("<", C("o_orderkey"), L(-1))), (), (("n", "count", None),)),
@@ -129,6 +129,47 @@ def matching_verdicts(spark, d):
     return spark.createDataFrame(rows, "query string, answered_by string, reason string")
 
 
+SEGMENTED = ir.Project(ir.Filter(JOINED, ir.Compare(">", C("o_totalprice"), L(1000))), (("k", C("o_orderkey")), ("price", C("o_totalprice")), ("segment", C("c_mktsegment"))))
+DEAR = ir.Project(ir.Filter(ORDERS, ir.Compare(">", C("o_totalprice"), L(50000))), (("k", C("o_orderkey")), ("price", C("o_totalprice"))))
+
+
+@query("view_rewrite_extra_join", to_sql(DEAR, "duckdb"))
+def rewrite_extra_join(spark, d):
+    """A view that joins one relation more answers the query, since each order has one customer."""
+    scan = ir.Scan("lake", "mv_segmented", (("k", "Integer"), ("price", "Decimal<12,2>"), ("segment", "String")))
+    plan = matching.match(DEAR, SEGMENTED, scan, frozenset({matching.Guarantee("orders.o_custkey", "customer.c_custkey")}))
+    stored = to_dataframe(SEGMENTED, _read(spark, d))
+    return to_dataframe(plan, lambda s: stored)
+
+
+_GROUPED = ir.Aggregate(ir.Filter(JOINED, ir.And((ir.Compare(">", C("o_totalprice"), L(1000)), ir.In(C("o_orderstatus"), (L("F"), L("O")))))), ("c_mktsegment", "o_orderstatus"), (("n", "count", None), ("hi", "max", "o_totalprice")))
+
+
+@query("plan_read_back", to_sql(_GROUPED, "duckdb"))
+def read_back(spark, d):
+    """A plan written as JSON, read again and run; another spelling of it has the same digest."""
+    import json
+
+    plan = ir.from_json(json.loads(json.dumps(ir.to_json(_GROUPED))))
+    other = ir.Aggregate(ir.Filter(JOINED, ir.And((ir.In(C("o_orderstatus"), (L("O"), L("F"))), ir.Compare("<", L(1000), C("o_totalprice"))))), ("o_orderstatus", "c_mktsegment"), (("hi", "max", "o_totalprice"), ("n", "count", None)))
+    if plan != _GROUPED or ir.digest(plan) != ir.digest(other):
+        raise AssertionError("the plan did not come back")
+    return to_dataframe(plan, _read(spark, d))
+
+
+@query("schema_resolved", "select column_name as col, case when column_type like 'DECIMAL%' then 'decimal' when column_type = 'BIGINT' then 'bigint' else 'string' end as kind from (describe " + to_sql(_GROUPED, "duckdb") + ")")
+def schema_resolved(spark, d):
+    """The types that the resolver gives a plan are those of its rows."""
+    from .. import types as ty
+    from ..plans.schema import schema_of
+
+    told = {n: ty.to_spark(f.type).typeName() for n, f in schema_of(_GROUPED).items()}
+    rows = {f.name: f.dataType.typeName() for f in to_dataframe(_GROUPED, _read(spark, d)).schema.fields}
+    if told != rows:
+        raise AssertionError(f"{told} is not {rows}")
+    return spark.createDataFrame([(n, {"long": "bigint"}.get(t, t)) for n, t in told.items()], "col string, kind string")
+
+
 # -- analyses -------------------------------------------------------------------------------------
 
 
