@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .delta import stored
 
-#: A side is broadcast only when its counted rows and estimated bytes are below these.
+# A side is broadcast only when its counted rows and estimated bytes are below these.
 BROADCAST_ROWS = 150_000
 BROADCAST_BYTES = 48 << 20
 
