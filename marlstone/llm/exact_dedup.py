@@ -6,7 +6,8 @@ key holds the normalised bytes themselves, so two texts that collide in the hash
 Everything after that moves only ids, hashes and lengths.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; repeated rows
-each get a row; a null id ranks after all others; other columns are ignored.
+each get a row, and all rows of the id and length that stay are kept, since nothing tells them apart; a
+null id ranks after all others; two texts under both hashes stop the run; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ ALIKE_ROWS = 4096
 
 def _targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     """source totals -> targets: min(most * size, level * weight), level chosen so that they sum to
-    the total. One row per source, so this is small next to the documents."""
+    the total. Weights go by the sources' order, so one task ranks them: it has a row for each source,
+    whatever its documents."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(
         F.array(*[F.lit(float(x)) for x in weights]),
