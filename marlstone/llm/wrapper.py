@@ -19,8 +19,8 @@ by its own tree.
 Constants are counted over all pages. A block of any length is template if CONSTANT_SHARE of a host's
 different pages repeat it at one place, or of those in one layout, or of those that have the place
 at all. In the last two counts pages with one longest block are one, so that an article's
-own lines are not template because the article was copied with another date. Only blocks that a host
-repeats at all go through these counts.
+own lines are not template because the article was copied with another date. Pages without any block
+don't count, and only blocks that a host repeats at all go through these counts.
 
 The wrappers are small, one row a host or layout; pages meet them by a join, whose hot keys AQE
 splits. No task holds a host, and Arrow batches are bounded in bytes. Matching costs the product of
@@ -468,22 +468,21 @@ _COUNTED = "place long, host string, layout long, path long, text long, page lon
 
 
 def _block_batches(names: bool):
-    """The different blocks of each page; place names host, path and text, page and main name the page
-    by its html and by its longest block."""
+    """The different blocks of each page that are not named as no content; place names host, path and
+    text, page and main name the page by its html and by its longest block."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             seen: dict = {}
-            for host, layout, source in zip(*map(values, batch.columns)):
-                html_name = text_name(source or "")
-                page = read(source)
-                out = [False] * len(page.kinds)
-                for i, k in enumerate(page.kinds):
-                    out[i] = names and (k.never or k.marked) or (i > 0 and out[page.parent[i]])
-                blocks = [(page.path[n], t) for n, t, _ in page.blocks if not out[n]]
+            for host, layout, page, source in zip(*map(values, batch.columns)):
+                parsed = read(source)
+                out = [False] * len(parsed.kinds)
+                for i, k in enumerate(parsed.kinds):
+                    out[i] = names and (k.never or k.marked) or (i > 0 and out[parsed.parent[i]])
+                blocks = [(parsed.path[n], t) for n, t, _ in parsed.blocks if not out[n]]
                 main = text_name(max((t for _, t in blocks), key=lambda t: (len(t), t), default=""))
                 for path, text in blocks:
-                    seen[(host, layout, path, text_name(text), html_name, main)] = None
+                    seen[(host, layout, path, text_name(text), page, main)] = None
             rows = list(zip(*seen)) or [[]] * 6
             place = [xxhash.xxh64_intdigest(f"{p:x}/{t:x}/{h}") >> 1 for h, p, t in zip(rows[0], rows[2], rows[3])]
             kinds = (pa.int64(), pa.string(), *[pa.int64()] * 5)
@@ -528,9 +527,9 @@ def _extract_batches(names: bool):
     return batches
 
 
-def _constants(p: DataFrame, pages: DataFrame, names: bool) -> tuple[DataFrame, DataFrame]:
-    """Constant blocks of each host, and of each layout of a host; pages has each different page once."""
-    counted = cut(p.select("host", "layout", "html").mapInArrow(_block_batches(names), _COUNTED))
+def _constants(counted: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Constant blocks of each host, and of each layout of a host; pages has each different page with
+    any block once."""
     often = counted.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT_PAGES).select("place")
     repeated = cut(join_apart(counted, often, ["place"]).drop("place"))
     listed = F.sort_array(F.collect_set(F.struct("path", "text")))
@@ -564,8 +563,8 @@ def _wrappers(p: DataFrame, pages: DataFrame, exemplars: int, names: bool) -> Da
     sizes = pages.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT_PAGES).drop("n")
     first = pages.withColumn("k", by_hash("host", "layout")).filter(F.col("k") <= exemplars)
     of_layout = first.join(sizes, ["host", "layout"], "left_semi").withColumn("of", F.col("layout"))
-    chosen = cut(of_host.unionByName(of_layout).drop("k"))
-    met = p.select("host", "layout", "page", "html").join(_bounded(chosen, F.octet_length("host") + 24), ["host", "layout", "page"])
+    chosen = cut(of_host.unionByName(of_layout).drop("k", "layout"))
+    met = p.select("host", "page", "html").join(_bounded(chosen, F.octet_length("host") + 16), ["host", "page"])
     return (
         met.groupBy("host", "of", "page")
         .agg(F.min("html").alias("html"))
@@ -592,8 +591,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     p = p.withColumn("host", _host()).withColumn("layout", F.coalesce(_layout(), F.lit(0))).withColumn("page", F.xxhash64("html"))
 
-    different = cut(p.select("host", "layout", "page").distinct())
-    constants, own_constants = _constants(p, different, names)
+    counted = cut(p.select("host", "layout", "page", "html").mapInArrow(_block_batches(names), _COUNTED))
+    different = cut(counted.select("host", "layout", "page").distinct())
+    constants, own_constants = _constants(counted, different)
     wrappers = cut(_wrappers(p, different, exemplars, names))
     hosts = cut(wrappers.filter("layout is null").drop("layout").withColumnRenamed("wrapper", "host_wrapper").join(constants, "host", "left"))
     layouts = cut(wrappers.filter("layout is not null").join(own_constants, ["host", "layout"], "left"))
