@@ -192,3 +192,14 @@ def gateway_read(spark, d):
     else:
         raise AssertionError("a read over its bound was answered")
     return spark.createDataFrame(g.read("wide", lambda: n.filter("n_regionkey = 1").select("n_nationkey", "n_name")))
+
+
+@query("witness_reads", "select o_orderkey, case when o_orderkey <= (select max(o_orderkey) from orders where o_orderstatus = 'F') then 1 else 2 end as part from orders where o_orderstatus = 'F' or o_orderkey > (select max(o_orderkey) from orders where o_orderstatus = 'F')")
+def witness_reads(spark, d):
+    """The filled orders come first; what the second read finds is past the first one's witness."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    first, at = rq.read_since(o.filter("o_orderstatus = 'F'"), "o_orderkey")
+    second, end = rq.read_since(o, "o_orderkey", at)
+    if not end.reached(at):
+        raise AssertionError("the second witness is behind the first")
+    return first.select("o_orderkey", F.lit(1).alias("part")).unionAll(second.select("o_orderkey", F.lit(2)))

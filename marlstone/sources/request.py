@@ -143,6 +143,43 @@ def mark_of(df: DataFrame, cursor: str) -> object:
     return df.agg(F.max(cursor)).first()[0]
 
 
+@dataclass(frozen=True)
+class Witness:
+    """How far a reader has come: nowhere (none), at a dataset's snapshot, at a step of a log, or at a
+    value of a cursor column. It is taken before what it stands for is read, so rows that arrive
+    meanwhile are read again and none is lost."""
+
+    kind: str  # none, snapshot, log, field
+    position: object = None
+
+    def __post_init__(self):
+        if self.kind not in ("none", "snapshot", "log", "field") or (self.kind == "none") != (self.position is None):
+            raise RequestProblem(f"no witness {self.kind} {self.position!r}")
+
+    def reached(self, other: Witness) -> bool:
+        """Whether this one is at or past the other; nowhere is before all, kinds don't mix."""
+        if other.kind == "none":
+            return True
+        if self.kind == "none":
+            return False
+        if self.kind != other.kind:
+            raise RequestProblem(f"{self.kind} and {other.kind} have no order")
+        return self.position >= other.position
+
+
+def read_since(df: DataFrame, cursor: str, since: Witness = Witness("none")) -> tuple[DataFrame, Witness]:
+    """Rows past a witness of a cursor column, and the witness to go on from. Rows without a cursor are
+    read each time there is no witness yet."""
+    if since.kind not in ("none", "field"):
+        raise RequestProblem(f"a cursor column is not read from a {since.kind}")
+    at = mark_of(df, cursor)
+    now = since if at is None else Witness("field", at)
+    c = F.col(f"`{cursor}`")
+    if since.kind == "none":
+        return df.filter(c.isNull() if at is None else c.isNull() | (c <= F.lit(at))), now
+    return df.filter((c > F.lit(since.position)) & (c <= F.lit(now.position))), now
+
+
 # What differs between SQL dialects - quotes, placeholder of the n-th value, tuples in
 # IN, and how a limit is written.
 DIALECTS = {

@@ -561,3 +561,23 @@ def test_literals(dialect, value, text):
     assert rq.literal(value, dialect) == text
     with pytest.raises(rq.RequestProblem):
         rq.literal(float("nan"), dialect)
+
+
+def test_witnesses_have_an_order_and_lose_no_row(spark):
+    none, five, nine = rq.Witness("none"), rq.Witness("field", 5), rq.Witness("field", 9)
+    assert nine.reached(five) and not five.reached(nine) and five.reached(none) and not none.reached(five) and five.reached(five)
+    for bad in (lambda: rq.Witness("place", 1), lambda: rq.Witness("none", 1), lambda: rq.Witness("log"), lambda: five.reached(rq.Witness("log", 1))):
+        with pytest.raises(rq.RequestProblem):
+            bad()
+    one = spark.createDataFrame([(1,), (4,), (None,)], "t int")
+    two = spark.createDataFrame([(1,), (4,), (None,), (6,), (9,)], "t int")
+    ids = lambda df: sorted((r[0] is not None, r[0]) for r in df.collect())
+    rows, at = rq.read_since(one, "t")
+    assert ids(rows) == [(False, None), (True, 1), (True, 4)] and at == rq.Witness("field", 4)
+    rows, end = rq.read_since(two, "t", at)
+    assert ids(rows) == [(True, 6), (True, 9)] and end == nine
+    rows, same = rq.read_since(two, "t", end)
+    assert ids(rows) == [] and same == end
+    assert rq.read_since(one.limit(0), "t")[1] == none
+    with pytest.raises(rq.RequestProblem):
+        rq.read_since(one, "t", rq.Witness("snapshot", 1))
