@@ -138,6 +138,7 @@ class Vocabulary:
                     final.append(-1)
                 at = trie[at][ch]
             final[at] = i
+        self.raw_array = np.array(self.raw, dtype=object)
         self.unit = _unit_pattern(pieces)
         moves = sorted((node << 21 | ord(ch), to) for node, edges in enumerate(trie) for ch, to in edges.items())
         self.moves = _HashTable(np.array([m[0] for m in moves], dtype=np.int64), np.array([m[1] for m in moves], dtype=np.int64))
@@ -152,7 +153,7 @@ class Vocabulary:
 
     def decode(self, ids) -> bytes:
         """Pieces to text, as UTF-8. A SPACE character of the text comes back as a space."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:]
+        return b"".join(self.raw_array[ids].tolist())[1:]
 
 
 class _Numbers(dict):
@@ -308,23 +309,23 @@ def _walk(lat: Lattices, state: np.ndarray, seed: np.ndarray, place: np.ndarray,
     """From each open unit's state to its end: (index of the unit, edge, uniform for the rest), in
     order of unit and step."""
     idx = np.flatnonzero(lat.ptr[state + 1] > lat.ptr[state])
-    state, who, edges, step = state[idx], [], [], 0
+    size = np.zeros(len(state), dtype=np.int64)
+    state, steps, step = state[idx], [], 0
     seed, place = seed[idx], place[idx].astype(np.uint64)
-    rest = []
     while len(idx):
         tag = U((sample << 40) | step * 2)
         e = _edges_at(lat, state, _uniform(seed, place, tag))
-        who.append(idx)
-        edges.append(e)
-        rest.append(_uniform(seed, place, tag + U(1)))
+        steps.append((idx, e, _uniform(seed, place, tag + U(1))))
+        size[idx] += 1
         state = lat.to[e]
         open_ = np.flatnonzero(lat.ptr[state + 1] > lat.ptr[state])
         idx, state, seed, place, step = idx[open_], state[open_], seed[open_], place[open_], step + 1
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    who_, edges_, rest_ = np.concatenate(who), np.concatenate(edges), np.concatenate(rest)
-    order = np.argsort(who_, kind="stable")
-    return who_[order], edges_[order], rest_[order]
+    first = np.cumsum(size) - size
+    edges, rest = np.empty(int(size.sum()), dtype=np.int64), np.empty(int(size.sum()))
+    for step, (idx, e, u) in enumerate(steps):
+        at = first[idx] + step
+        edges[at], rest[at] = e, u
+    return np.repeat(np.arange(len(size)), size), edges, rest
 
 
 def _truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -352,37 +353,42 @@ class _Text:
         self.paths: list[tuple] = []  # (edges, unit of each edge, log_prob, value)
 
 
-def _add_nodes(texts: list[_Text], owner: np.ndarray, value: np.ndarray, path: list[int], pos: np.ndarray, edge: np.ndarray, lat: Lattices, before: np.ndarray, keep: int) -> None:
-    """Of each text's new nodes the `keep` largest; owner is sorted."""
+def _add_nodes(texts: list[_Text], owner: np.ndarray, bound: np.ndarray, u: np.ndarray, path: list[int], pos: np.ndarray, edge: np.ndarray, lat: Lattices, before: np.ndarray, keep: int) -> None:
+    """Of each text's new nodes, a node for what is left beside each edge, the `keep` largest. owner is
+    sorted; bound is each text's. Truncated by one bound, Gumbels stay in the order of those not
+    truncated, so only the largest are truncated."""
     if not len(owner):
         return
     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     sizes = np.diff(np.append(heads, len(owner)))
-    value = value.copy()
+    with np.errstate(divide="ignore"):
+        free = before + np.log((1.0 - lat.p[edge]) / -np.log(u))
     for _ in range(keep):
-        top = np.maximum.reduceat(value, heads)
-        is_top = np.flatnonzero(value == np.repeat(top, sizes))
-        is_top = is_top[value[is_top] > _NEG]
+        top = np.maximum.reduceat(free, heads)
+        is_top = np.flatnonzero(free == np.repeat(top, sizes))
+        is_top = is_top[free[is_top] > _NEG]
         if not len(is_top):
             return
         is_top = is_top[np.append(True, owner[is_top][1:] != owner[is_top][:-1])]
-        for i, t, v in zip(is_top.tolist(), owner[is_top].tolist(), value[is_top].tolist()):
+        mass = before[is_top] + np.log1p(-lat.p[edge[is_top]])
+        value = _truncated(mass, bound[owner[is_top]], u[is_top])
+        for i, t, v in zip(is_top.tolist(), owner[is_top].tolist(), value.tolist()):
             e = int(edge[i])
             texts[t].open.append((v, path[t], int(pos[i]), (e,), float(lat.p[e]), float(before[i])))
-        value[is_top] = _NEG
+        free[is_top] = _NEG
 
 
 def sample_without_replacement(vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[Sample]]:
     """k distinct segmentations of each text (all, if it has fewer), largest noisy value first.
     keys: uint64, the seed of each text. A text without characters has one empty segmentation."""
     number = _Numbers(vocab.kept)
-    which: list[int] = []
+    which = [np.zeros(0, dtype=np.int64)]
     sizes = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         us = vocab.units(text)
         sizes[i] = len(us)
-        which.extend(map(number.__getitem__, us))
-    unit = np.array(which, dtype=np.int64)
+        which.append(np.fromiter(map(number.__getitem__, us), dtype=np.int64, count=len(us)))
+    unit = np.concatenate(which)
     lat = _lattices(vocab, number, unit)
     owner = np.repeat(np.arange(len(texts)), sizes)
     begin = np.cumsum(sizes) - sizes
@@ -399,14 +405,11 @@ def sample_without_replacement(vocab: Vocabulary, texts: list[str], keys: np.nda
     first = np.cumsum(counts) - counts
     base = np.append(0.0, run)[first]
     before = np.append(0.0, run[:-1])[: len(run)] - base[text_of]
-    with np.errstate(divide="ignore"):
-        mass = before + np.log1p(-np.minimum(lat.p[edge], 1.0))
-    value = _truncated(mass, root[text_of], rest)
     for t in range(len(texts)):
         a, b = first[t], first[t] + counts[t]
         total = float(run[b - 1] - base[t]) if counts[t] else 0.0
         state[t].paths.append((edge[a:b], local[who[a:b]], total, float(root[t])))
-    _add_nodes(state, text_of, value, [0] * len(texts), np.arange(len(edge)) - first[text_of], edge, lat, before, k)
+    _add_nodes(state, text_of, root, rest, [0] * len(texts), np.arange(len(edge)) - first[text_of], edge, lat, before, k)
 
     for s in range(1, k):
         todo = []  # (text, node, new edge)
@@ -444,16 +447,14 @@ def sample_without_replacement(vocab: Vocabulary, texts: list[str], keys: np.nda
         who, edge, rest = _walk(lat, starts, seeds[units], local[units], s)
         mine = owner[units][who]
         spot = np.searchsorted([t for t, _, _ in todo], mine)
-        bound = np.array([n[0] for _, n, _ in todo])
+        bound = np.zeros(len(texts))
+        bound[[t for t, _, _ in todo]] = [n[0] for _, n, _ in todo]
         lp_new = np.array([n[5] + lat.logp[e] for _, n, e in todo])
         run = np.cumsum(lat.logp[edge])
         counts = np.bincount(spot, minlength=len(todo))
         first = np.cumsum(counts) - counts
         base = np.append(0.0, run)[first]
         before = np.append(0.0, run[:-1])[: len(run)] - base[spot] + lp_new[spot]
-        with np.errstate(divide="ignore"):
-            mass = before + np.log1p(-np.minimum(lat.p[edge], 1.0))
-        value = _truncated(mass, bound[spot], rest)
         paths = [0] * len(texts)
         offset = np.zeros(len(todo), dtype=np.int64)
         for j, (t, (value_, path, pos, taken, p_taken, before_), e) in enumerate(todo):
@@ -469,7 +470,7 @@ def sample_without_replacement(vocab: Vocabulary, texts: list[str], keys: np.nda
                 u = _uniform(keys[t : t + 1], U(s), U(0x5A5A + pos))
                 g = float(_truncated(np.array([before_ + np.log1p(-gone)]), np.array([value_]), u)[0])
                 st.open.append((g, paths[t], pos, (*taken, e), gone, before_))
-        _add_nodes(state, mine, value, paths, np.arange(len(edge)) - first[spot] + offset[spot], edge, lat, before, k)
+        _add_nodes(state, mine, bound, rest, paths, np.arange(len(edge)) - first[spot] + offset[spot], edge, lat, before, k)
 
     out = []
     for st in state:
@@ -491,10 +492,11 @@ def _ids(vocab: Vocabulary, lat: Lattices, edges: np.ndarray) -> np.ndarray:
     bare = np.flatnonzero(piece < 0)
     if not len(bare):
         return piece
-    parts, at = [], 0
-    for i in bare.tolist():
-        parts.append(piece[at:i])
-        parts.append(vocab.byte_id[np.frombuffer(chr(-1 - int(piece[i])).encode("utf-8", "replace"), dtype=np.uint8)])
-        at = i + 1
-    parts.append(piece[at:])
-    return np.concatenate(parts)
+    code = -1 - piece[bare]
+    code[(code >= 0xD800) & (code < 0xE000)] = ord("?")  # half a pair has no bytes of its own
+    size = np.ones(len(piece), dtype=np.int64)
+    size[bare] += (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    ids = np.repeat(piece, size)
+    spelled = code.astype("<u4").tobytes().decode("utf-32-le").encode()
+    ids[ids < 0] = vocab.byte_id[np.frombuffer(spelled, dtype=np.uint8)]
+    return ids

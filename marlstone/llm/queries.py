@@ -23,7 +23,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.sample_segmentations(_read(spark, sf_dir, "documents"), with_ids=False)
+    return segmentation.sample_segmentations(_read(spark, sf_dir, "documents"), with_sha256=True)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

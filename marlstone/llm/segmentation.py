@@ -27,6 +27,7 @@ from .lattice import ALPHA, Vocabulary, sample_without_replacement
 SAMPLES = 2
 #: Characters that are searched together; a longer text is searched alone.
 CHUNK_CHARS = 500_000
+COLUMNS = ("id", "sample", "n_pieces", "log_prob", "value", "inclusion", "round_trip")
 _vocabularies: dict[tuple, Vocabulary] = {}
 
 
@@ -58,13 +59,15 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 def sample_segmentations(
-    docs: DataFrame, model_path: str | None = None, k: int = SAMPLES, seed: int = 0, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
+    docs: DataFrame, model_path: str | None = None, k: int = SAMPLES, seed: int = 0, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_sha256: bool = False
 ) -> DataFrame:
     """Up to k rows per input row: id, sample (from 1), n_pieces, log_prob, value (with its noise),
-    inclusion, round_trip (whether decoding gives the text back), and ids or, not with_ids,
-    ids_sha256 (of little-endian 32-bit ids)."""
+    inclusion, round_trip (whether decoding gives the text back), ids if with_ids, and ids_sha256 (of
+    little-endian 32-bit ids) if with_sha256 or not with_ids."""
+    with_sha256 = with_sha256 or not with_ids
     with open(model_path or default_model(), "rb") as f:
         model = f.read()
+    names = [*COLUMNS, *["ids"] * with_ids, *["ids_sha256"] * with_sha256]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
@@ -72,15 +75,21 @@ def sample_segmentations(
         for chunk in _chunks(rows):
             keys = np.array([x[1] for x in chunk], dtype=np.int64).view(np.uint64)
             out: list[tuple] = []
+            encoded: list[np.ndarray] = []
             for (id_, _, text), samples in zip(chunk, sample_without_replacement(vocab, [x[2] for x in chunk], keys, k)):
                 whole = text.encode()
                 for n, s in enumerate(samples):
-                    ids = s.ids.astype("<i4")
-                    same = vocab.decode(s.ids.tolist()) == whole
-                    out.append((id_, n + 1, len(ids), s.log_prob, s.value, s.inclusion, same, ids if with_ids else hashlib.sha256(ids.tobytes()).hexdigest()))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()) if with_ids else pa.string())
-            names = ("id", "sample", "n_pieces", "log_prob", "value", "inclusion", "round_trip", "ids")
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names)
+                    ids = s.ids.astype("<i4", copy=False)
+                    same = vocab.decode(ids) == whole
+                    out.append((id_, n + 1, len(ids), s.log_prob, s.value, s.inclusion, same, hashlib.sha256(ids).hexdigest() if with_sha256 else None))
+                    if with_ids:
+                        encoded.append(ids)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
+            made = dict(zip((*COLUMNS, "ids_sha256"), (pa.array(list(c), t) for c, t in zip(zip(*out), kinds))))
+            if with_ids:
+                ends = np.cumsum([0] + [len(x) for x in encoded], dtype=np.int32)
+                made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(encoded)))
+            yield pa.RecordBatch.from_arrays([made[n] for n in names], names)
         give_back()
 
     rows = docs.select(
@@ -88,6 +97,6 @@ def sample_segmentations(
         F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    kind = "array<int>" if with_ids else "string"
-    out = rows.mapInArrow(batches, f"id long, sample int, n_pieces long, log_prob double, value double, inclusion double, round_trip boolean, ids {kind}")
-    return out.toDF(id_col, "sample", "n_pieces", "log_prob", "value", "inclusion", "round_trip", "ids" if with_ids else "ids_sha256")
+    schema = "id long, sample int, n_pieces long, log_prob double, value double, inclusion double, round_trip boolean"
+    schema += ", ids array<int>" * with_ids + ", ids_sha256 string" * with_sha256
+    return rows.mapInArrow(batches, schema).toDF(id_col, *names[1:])

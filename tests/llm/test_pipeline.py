@@ -1,7 +1,9 @@
 """The pipeline's stages against brute force, on their own inputs."""
 
+import hashlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -58,6 +60,13 @@ def test_the_token_ids_come_out(spark, small_dir):
     assert "ids_sha256" in op3_sentencepiece_topk(spark, small_dir).columns
 
 
+def test_op3_gives_the_token_ids_beside_their_digest(spark, small_dir):
+    got = op3_sentencepiece_topk(spark, small_dir).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in documents(spark, small_dir).collect()}
+    assert all(len(r["ids"]) == r["n_pieces"] for r in got)
+    assert all(hashlib.sha256(np.array(r["ids"], dtype="<i4").tobytes()).hexdigest() == r["ids_sha256"] for r in got)
+
+
 def few(spark, rows):
     return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
