@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, mvt
+from .delta import stored
 from .enrich import Layer, Take, pairs
+from .joins import places
 
-#: Features that one tile may hold; beyond it a tile is refused, a pyramid shows the density.
+#: Features of a tile that the driver puts together; beyond it tile_bytes refuses, and tile_parts or a pyramid serves.
 MOST_FEATURES = 200_000
+#: Features in one part of a tile that the executors put together.
+PART_FEATURES = 10_000
 
 
 def tile_index(df: DataFrame, geometry: str, id_col: str, cuts: int) -> tuple[DataFrame, list[int], int]:
@@ -29,9 +33,9 @@ def tile_index(df: DataFrame, geometry: str, id_col: str, cuts: int) -> tuple[Da
     return ordered, sorted(set(places or [])), int(total or 0) % (1 << 64)
 
 
-def tile_bytes(df: DataFrame, geometry: str, id_col: str, layer: str, z: int, x: int, y: int) -> bytes:
-    """The tile of a table in degrees. Rows outside are skipped by their box, geometry is cut on the
-    executors, and only commands come to the driver, up to a bound."""
+def _cut(df: DataFrame, geometry: str, id_col: str, z: int, x: int, y: int) -> DataFrame:
+    """The features of a tile of a table in degrees: id, Hilbert place, type, commands. Rows outside are
+    skipped by their box, and geometry is cut on the executors."""
     x0, y0, x1, y1 = mvt.tile_bounds(z, x, y)
     pad = (x1 - x0) * mvt.BUFFER / mvt.EXTENT
     lon = lambda m: m / mvt.HALF_WORLD * 180
@@ -48,13 +52,38 @@ def tile_bytes(df: DataFrame, geometry: str, id_col: str, layer: str, z: int, x:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["id", "h", "kind", "commands"])
 
-    cut = near.select(F.col(id_col).cast("long").alias("id"), geo.hilbert_cell(mid("xmin", "xmax"), mid("ymin", "ymax")).alias("h"), geometry).mapInArrow(batches, "id long, h long, kind int, commands binary")
-    got = cut.orderBy("h", "id", "kind").limit(MOST_FEATURES + 1).collect()
+    return near.select(F.col(id_col).cast("long").alias("id"), geo.hilbert_cell(mid("xmin", "xmax"), mid("ymin", "ymax")).alias("h"), geometry).mapInArrow(batches, "id long, h long, kind int, commands binary")
+
+
+_ORDER = ("h", "id", "kind", "commands")
+
+
+def tile_bytes(df: DataFrame, geometry: str, id_col: str, layer: str, z: int, x: int, y: int) -> bytes:
+    """The tile on the driver, for reading one at a time: up to a bound, beyond which tile_parts has it."""
+    got = _cut(df, geometry, id_col, z, x, y).orderBy(*_ORDER).limit(MOST_FEATURES + 1).collect()
     if len(got) > MOST_FEATURES:
         raise ValueError(f"tile {z}/{x}/{y} has over {MOST_FEATURES} features")
     return mvt.tile(layer, [(r["id"], r["kind"], bytes(r["commands"])) for r in got])
 
 
+def tile_parts(df: DataFrame, geometry: str, id_col: str, layer: str, z: int, x: int, y: int, part_features: int = PART_FEATURES) -> DataFrame:
+    """The whole tile, however many features it has, as rows (part, bytes) that make it in their order;
+    none, if it has none. Features are placed and put together on the executors; the driver sees the
+    sum of their lengths. Parts are cut by place, so equal tiles have equal parts."""
+    encode = F.pandas_udf(_feature, "binary")
+    cut = stored(_cut(df, geometry, id_col, z, x, y))
+    placed = places(cut, [F.col(c).asc() for c in _ORDER], "place").select("place", encode("id", "kind", "commands").alias("feature"))
+    part = F.floor((F.col("place") - 1) / part_features) + 1
+    parts = stored(placed.groupBy(part.alias("part")).agg(F.expr("listagg(feature) within group (order by place)").alias("bytes")))
+    size, last = parts.agg(F.sum(F.length("bytes")), F.max("part")).first()
+    ends = [(n, bytearray(b)) for n, b in zip((0, last + 1), mvt.layer_ends(layer, size))] if last else []
+    return parts.unionByName(df.sparkSession.createDataFrame(ends, "part long, bytes binary"))
+
+
+def _feature(ids: pd.Series, kinds: pd.Series, commands: pd.Series) -> pd.Series:
+    return pd.Series([mvt.feature(int(i), int(k), bytes(c)) for i, k, c in zip(ids, kinds, commands)], dtype=object)
+
+
 def spatial_left_join(left: DataFrame, id_col: str, left_geometry: str, right: DataFrame, right_geometry: str, relation: str, cell: float) -> DataFrame:
     """Each left row with each right row that it lies within (contains, intersects); rows without one
     once, with nulls. The inner pairs are found by cells and met again by the left row's id."""

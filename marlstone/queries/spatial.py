@@ -154,11 +154,16 @@ def tile_index(spark, d):
 
 @query("geo_vector_tile", "select true as has_bytes, true as repeatable, true as empty_elsewhere")
 def vector_tile(spark, d):
-    from ..operators.tiles import tile_bytes
+    """The tile of all points twice, dealt in another way, and its neighbour; compared part by part."""
+    from ..operators.tiles import tile_parts
 
     p = _points(spark, d).select("c_custkey", "g")
-    one, two, none = (tile_bytes(x, "g", "c_custkey", "customers", 1, i, 0) for x, i in ((p, 1), (p.repartition(3), 1), (p, 0)))
-    return spark.createDataFrame([(len(one) > 0, one == two, none == b"" or len(none) < len(one))], "has_bytes boolean, repeatable boolean, empty_elsewhere boolean")
+    dealt = p.repartition("c_custkey")
+    one, two, none = (tile_parts(x, "g", "c_custkey", "customers", 1, i, 0) for x, i in ((dealt, 1), (p.repartition("g", "c_custkey"), 1), (dealt, 0)))
+    size = lambda t, name: t.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias(name))
+    same = one.join(two.withColumnRenamed("bytes", "again"), "part", "full").agg(F.coalesce(F.every(F.col("bytes").eqNullSafe(F.col("again"))), F.lit(True)).alias("repeatable"))
+    sizes = size(one, "n").crossJoin(size(none, "other"))
+    return sizes.crossJoin(same).select((F.col("n") > 0).alias("has_bytes"), "repeatable", ((F.col("other") == 0) | (F.col("other") < F.col("n"))).alias("empty_elsewhere"))
 
 
 @query("geo_left_join", f"select c_custkey, r_regionkey from {_PT} p left join {_BX} b on {_IN}")

@@ -331,6 +331,20 @@ def test_tile_holds_what_is_inside(spark):
     assert tiles.tile_bytes(df, "g", "id", "things", 1, 1, 1) == tiles.tile_bytes(df.repartition(3), "g", "id", "things", 1, 1, 1)
 
 
+def test_tile_in_parts_is_the_whole_tile(spark, monkeypatch):
+    from marlstone.operators import tiles
+
+    points = spark.range(700).select("id", geo.st_point((F.col("id") % 90).cast("double"), (F.col("id") % 7).cast("double")).alias("g"))
+    whole = tiles.tile_bytes(points, "g", "id", "things", 1, 1, 0)
+    monkeypatch.setattr(tiles, "MOST_FEATURES", 100)  # the driver's bound isn't the parts'
+    with pytest.raises(ValueError):
+        tiles.tile_bytes(points, "g", "id", "things", 1, 1, 0)
+    for df in (points, points.repartition(5)):
+        parts = tiles.tile_parts(df, "g", "id", "things", 1, 1, 0, part_features=64).orderBy("part").collect()
+        assert len(parts) == 13 and b"".join(bytes(r["bytes"]) for r in parts) == whole
+    assert tiles.tile_parts(points.limit(0), "g", "id", "things", 1, 1, 0).isEmpty()
+
+
 def test_tile_index_and_contract(spark):
     from marlstone.operators import tiles
 
