@@ -36,6 +36,15 @@ def list_ordered(value: Column, *order: Column) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("__v")))), lambda x: x["__v"])
 
 
+def number_text(c: Column) -> Column:
+    """A finite double as SQL writes it: its shortest digits, in full from 1e-4 to below 1e16."""
+    own, plain = c.cast("string"), F.regexp_replace(c.cast("decimal(38,21)").cast("string"), "0+$", "")
+    power = F.substring_index(own, "E", -1).cast("int")
+    short = F.concat(F.regexp_replace(F.substring_index(own, "E", 1), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    full = (c == 0) | F.abs(c).between(1e-4, 9.999999999999998e15)
+    return F.when(full, F.concat(plain, F.when(plain.endswith("."), "0").otherwise(""))).when(c.isNotNull(), short)
+
+
 def mad(value: Column, median: Column) -> Column:
     """Median absolute deviation, given the group's median as a column of the row."""
     return F.median(F.abs(value - median))

@@ -613,3 +613,15 @@ def test_witnesses_have_an_order_and_lose_no_row(spark):
     assert rq.read_since(one.limit(0), "t")[1] == none
     with pytest.raises(rq.RequestProblem):
         rq.read_since(one, "t", rq.Witness("snapshot", 1))
+
+
+# -- aggregates -----------------------------------------------------------------------------------
+
+
+def test_decimal_average_counts_every_row_and_writes_the_shortest_number(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [("a", 0.04), ("a", 0.04), ("b", 0.25), ("b", None), ("c", 1.0), ("d", 0.0)] + [("e", 0.01)] + [("e", 0.0)] * 799
+    spark.createDataFrame(rows, "l_returnflag string, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = entry.queries()["agg_exact_decimal_avg"](spark, str(tmp_path)).collect()
+    assert {r[0]: r[1] for r in got} == {"a": "0.04", "b": "0.125", "c": "1.0", "d": "0.0", "e": "1.3e-05"}
