@@ -685,3 +685,22 @@ def test_nearest_vectors_by_blocks(spark, monkeypatch):
     cosine = lambda a, b: round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 9)
     assert got == {q: sorted((i for i in v if len(v[i]) == len(v[q])), key=lambda i: (-cosine(v[q], v[i]), i))[:4] for q in v}
     assert "NestedLoop" not in joins.nearest_vectors(df, df, 4, "id", "id", "e")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_joins_once(spark, tmp_path):
+    from marlstone.catalog.engine import Engine
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(x):
+        seen.add(1)
+        return x
+
+    e = Engine(spark, f"file://{tmp_path}/lake", "sales")
+    e.register("tick", F.udf(tick, "long"))
+    e.execute("create dataset t as select id, id as v from range(50)")
+    e.execute("create dataset s as select id, id + 1 as v from range(10, 70)")
+    n = e.execute("merge into t using (select id, functions.tick(v) as v from s) x on t.id = x.id when matched and x.v % 2 = 0 then delete when matched then update set v = x.v when not matched and x.v > 60 then insert *")
+    assert n == 50 and seen.value <= 120
+    want = [(i, i) for i in range(10)] + [(i, i + 1) for i in range(10, 50) if i % 2 == 0] + [(i, i + 1) for i in range(60, 70)]
+    assert sorted(tuple(r) for r in e.query("select id, v from t").collect()) == want
